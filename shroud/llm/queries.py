@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-from .common import read
+from .arrow_store import read_documents, write_tokens
+from .common import cut, read, remove_dir, scratch_dir
 from .exact_dedup import ORACLE as EXACT_SQL
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .url_templates import judge_urls
 from .url_templates import oracle as url_sql
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op8_arrow_store(spark, sf_dir):
+    folder = scratch_dir(spark)
+    manifest = write_tokens(read(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
+    rows = cut(read_documents(manifest))
+    remove_dir(spark, folder)
+    return rows
+
+
 def op10_url_templates(spark, sf_dir):
     return judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op10_url_templates)}
+QUERIES = {f.__name__: f for f in (op6_exact_dedup, op7_packing, op8_arrow_store, op10_url_templates)}
 ORACLE = {"op6_exact_dedup": EXACT_SQL, "op10_url_templates": url_sql()}
