@@ -6,6 +6,7 @@ from .arrow_store import read_documents, write_tokens
 from .common import cut, read, remove_dir, scratch_dir
 from .exact_dedup import ORACLE as EXACT_SQL
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprint_documents
 from .packing import pack
 from .url_templates import judge_urls
 from .url_templates import oracle as url_sql
@@ -17,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_prefix_fingerprints(spark, sf_dir):
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -37,5 +42,5 @@ def op10_url_templates(spark, sf_dir):
     return judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op7_packing, op8_arrow_store, op10_url_templates)}
+QUERIES = {f.__name__: f for f in (op5_prefix_fingerprints, op6_exact_dedup, op7_packing, op8_arrow_store, op10_url_templates)}
 ORACLE = {"op6_exact_dedup": EXACT_SQL, "op10_url_templates": url_sql()}
