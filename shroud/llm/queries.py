@@ -8,6 +8,7 @@ from .exact_dedup import ORACLE as EXACT_SQL
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_documents
 from .packing import pack
+from .quality import classify
 from .url_templates import judge_urls
 from .url_templates import oracle as url_sql
 
@@ -18,6 +19,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_additive_quality(spark, sf_dir):
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_prefix_fingerprints(spark, sf_dir):
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
@@ -42,5 +47,5 @@ def op10_url_templates(spark, sf_dir):
     return judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op5_prefix_fingerprints, op6_exact_dedup, op7_packing, op8_arrow_store, op10_url_templates)}
+QUERIES = {f.__name__: f for f in (op3_additive_quality, op5_prefix_fingerprints, op6_exact_dedup, op7_packing, op8_arrow_store, op10_url_templates)}
 ORACLE = {"op6_exact_dedup": EXACT_SQL, "op10_url_templates": url_sql()}
