@@ -7,6 +7,7 @@ from .common import cut, read, remove_dir, scratch_dir
 from .exact_dedup import ORACLE as EXACT_SQL
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_documents
+from .language import identify
 from .packing import pack
 from .quality import classify
 from .url_templates import judge_urls
@@ -23,6 +24,10 @@ def op3_additive_quality(spark, sf_dir):
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_crf_language(spark, sf_dir):
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op5_prefix_fingerprints(spark, sf_dir):
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
@@ -47,5 +52,5 @@ def op10_url_templates(spark, sf_dir):
     return judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_additive_quality, op5_prefix_fingerprints, op6_exact_dedup, op7_packing, op8_arrow_store, op10_url_templates)}
+QUERIES = {f.__name__: f for f in (op3_additive_quality, op4_crf_language, op5_prefix_fingerprints, op6_exact_dedup, op7_packing, op8_arrow_store, op10_url_templates)}
 ORACLE = {"op6_exact_dedup": EXACT_SQL, "op10_url_templates": url_sql()}
