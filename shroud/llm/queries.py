@@ -7,9 +7,12 @@ from .common import cut, read, remove_dir, scratch_dir
 from .exact_dedup import ORACLE as EXACT_SQL
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_documents
+from .jaccard_join import ORACLE as JACCARD_SQL
+from .jaccard_join import jaccard_components
 from .language import identify
 from .packing import pack
 from .quality import classify
+from .spans import substring_dedup
 from .url_templates import judge_urls
 from .url_templates import oracle as url_sql
 
@@ -20,6 +23,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentence_spans(spark, sf_dir):
+    return substring_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
+
+
 def op3_additive_quality(spark, sf_dir):
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -48,9 +55,13 @@ def op8_arrow_store(spark, sf_dir):
     return rows
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op10_url_templates(spark, sf_dir):
     return judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_additive_quality, op4_crf_language, op5_prefix_fingerprints, op6_exact_dedup, op7_packing, op8_arrow_store, op10_url_templates)}
-ORACLE = {"op6_exact_dedup": EXACT_SQL, "op10_url_templates": url_sql()}
+QUERIES = {f.__name__: f for f in (op1_sentence_spans, op3_additive_quality, op4_crf_language, op5_prefix_fingerprints, op6_exact_dedup, op7_packing, op8_arrow_store, op9_jaccard_join, op10_url_templates)}
+ORACLE = {"op9_jaccard_join": JACCARD_SQL, "op6_exact_dedup": EXACT_SQL, "op10_url_templates": url_sql()}
