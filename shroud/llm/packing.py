@@ -70,7 +70,11 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, marks, gap: int = GAP) ->
 def best_cuts(at: np.ndarray, price: np.ndarray, length: int = LENGTH, powers=POWERS) -> list[int]:
     """Cut places, from the first to the last of ``at``, of least total cost."""
     place, penalty = at.tolist(), price.tolist()
-    index = {p: i for i, p in enumerate(place)}
+    exact: dict[int, list[int]] = {}  # cuts that stand a power of two before a cut
+    for k in powers:
+        at_k = np.searchsorted(at, at - k)
+        for i in np.flatnonzero(at[np.minimum(at_k, len(at) - 1)] == at - k).tolist():
+            exact.setdefault(i, []).append(int(at_k[i]))
     cost, back = [0.0] * len(place), [0] * len(place)
     queue = deque([0])  # indices whose cost + place ascends
     score = [0.0] * len(place)
@@ -80,9 +84,8 @@ def best_cuts(at: np.ndarray, price: np.ndarray, length: int = LENGTH, powers=PO
             queue.popleft()
         j = queue[0]
         best, least = j, score[j] + length - p
-        for k in powers:
-            j = index.get(p - k)
-            if j is not None and cost[j] < least:
+        for j in exact.get(i, ()):
+            if cost[j] < least:
                 best, least = j, cost[j]
         cost[i], back[i] = least + penalty[i], best
         s = score[i] = cost[i] + p
@@ -137,8 +140,8 @@ def _packer(vocabulary: str, end_id: int):
         encode = encoder(vocabulary, False).encode
         stream = _Stream(TaskContext.get().partitionId(), _sentence_marks(vocabulary))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 3000):
+                part = batch.slice(lo, 3000)
                 ids, ends = encode(part["text"])
                 ids = np.insert(ids, ends, end_id).astype("uint32")
                 ends = ends + np.arange(1, len(ends) + 1)

@@ -9,15 +9,16 @@ byte-level vocabulary, where white space has ids of its own) are encoded whole b
 from __future__ import annotations
 
 import os
-import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that the table of a worker holds at most; it starts afresh beyond that.
-TABLE_WORDS = 600_000
-_PUNCT = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,])", re.S)
+#: Words that the table of a worker holds at most; further words are encoded each time.
+TABLE_WORDS = 1_500_000
+#: White space at an end, or two white-space characters in a row.
+_ODD = r"^[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]{2}|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]$"
 _encoders: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
@@ -36,32 +37,34 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space = drops_space
-        self._clear()
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.ends = np.zeros(0, "uint32"), np.zeros(0, "int64")  # ids of the known words in a row
 
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat, self.starts, self.sizes = np.zeros(0, "uint32"), np.zeros(0, "int64"), np.zeros(0, "int64")
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's end."""
+        flat, ends = array("I"), []
+        for lo in range(0, len(texts), 20_000):
+            for e in self.library.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False):
+                flat.extend(e.ids)
+                ends.append(len(flat))
+        return np.frombuffer(flat, "uint32") if len(flat) else np.zeros(0, "uint32"), np.array(ends, "int64")
 
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "uint32") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Words not in the table; a mark that ends a word has ids of its own."""
-        parts = {w: m.groups() if (m := _PUNCT.fullmatch(w)) else (w,) for w in words}
-        need = list(dict.fromkeys(p for ps in parts.values() for p in ps if p not in self.at))
-        new = dict(zip(need, self._library(need)))
-        for w, ps in parts.items():
-            if len(ps) > 1:
-                new[w] = np.concatenate([new[p] if p in new else self.ids[self.at[p]] for p in ps])
-        for w, ids in new.items():
-            if w not in self.at:
-                self.at[w] = len(self.ids)
-                self.ids.append(ids)
-        sizes = np.array([len(x) for x in new.values()], "int64")
-        self.sizes = np.array([len(x) for x in self.ids], "int64") if len(self.sizes) + len(sizes) != len(self.ids) else np.concatenate([self.sizes, sizes])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate([self.flat, *new.values()]) if len(self.flat) + sizes.sum() == self.sizes.sum() else np.concatenate(self.ids)
+    def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: a table, and where each word's begin and end in it."""
+        at = pc.index_in(words, value_set=self.known)
+        lacks = pc.is_null(at)
+        rows = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype("int64")
+        lacking = np.flatnonzero(lacks.to_numpy(zero_copy_only=False))
+        flat, ends = self.flat, self.ends
+        if len(lacking):
+            new = words.take(pa.array(lacking))
+            ids, stops = self._library(new.to_pylist())
+            rows[lacking] = len(ends) + np.arange(len(lacking))
+            ends = np.concatenate([ends, stops + len(flat)])
+            flat = np.concatenate([flat, ids])
+            if len(ends) <= TABLE_WORDS:
+                self.known, self.flat, self.ends = pa.concat_arrays([self.known, new]), flat, ends
+        return flat, np.concatenate([[0], ends])[rows], ends[rows] if len(ends) else rows
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and, for each text, where its ids end. Null counts as empty."""
@@ -71,37 +74,30 @@ class WordEncoder:
             odd = np.zeros(n, bool)
             words = pc.ascii_split_whitespace(texts)
         else:
-            odd = pc.match_substring_regex(texts, r"^[\s\p{Z}\x{1c}-\x{1f}\x{85}]|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]{2}|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]$").to_numpy(zero_copy_only=False)
-            plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
+            odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+            plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts) if odd.any() else texts
             # A word takes the one space before it; a line feed starts a word of its own that takes none.
             words = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
         coded = words.flatten().dictionary_encode()
         ends = np.asarray(words.offsets)[1:] - np.asarray(words.offsets)[0]
-        distinct = coded.dictionary.to_pylist()
-        first = np.zeros(len(coded), bool)
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype("int64")
-        if not self.drops_space:
+        distinct = coded.dictionary
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        if not self.drops_space and len(codes):
             begins = np.concatenate([[0], ends[:-1]])
-            first[begins[begins < ends]] = True  # the first word of a text has no space before it
-            names = [w if w[:1] == "\n" else " " + w for w in distinct]
-            at_start = np.unique(codes[first])
+            begins = begins[begins < ends]  # the first word of a text has no space before it
+            at_start, place = np.unique(codes[begins], return_inverse=True)
             codes = codes.copy()
-            place = {int(c): len(names) + i for i, c in enumerate(at_start)}
-            names += [distinct[c] for c in at_start]
-            codes[first] = [place[c] for c in codes[first]]
-        else:
-            names = distinct
-        if len(self.at) > TABLE_WORDS:
-            self._clear()
-        if missing := [w for w in dict.fromkeys(names) if w not in self.at]:
-            self._learn(missing)
-        rows = np.array([self.at[w] for w in names], "int64")
-        at = rows[codes] if len(codes) else codes
-        sizes, starts = self.sizes[at], self.starts[at]
-        flat = self.flat[np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
-        total = np.concatenate([[0], np.cumsum(sizes)])[ends]
+            codes[begins] = len(distinct) + place
+            spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), distinct, pa.scalar("", pa.large_string()))
+            distinct = pa.concat_arrays([pc.if_else(pc.starts_with(distinct, "\n"), distinct, spaced), distinct.take(pa.array(at_start))])
+        flat, starts, stops = self._look_up(distinct)
+        total = np.concatenate([[0], np.cumsum((stops - starts)[codes])]) if len(codes) else np.zeros(1, "int64")
+        shift = starts[codes] - total[:-1]
+        ids = flat[np.arange(total[-1]) + np.repeat(shift, np.diff(total))]
+        total = total[ends]
         if not odd.any():
-            return flat, total
-        whole = iter(self._library([texts[int(i)].as_py() for i in np.flatnonzero(odd)]))
-        pieces = [next(whole) if o else flat[lo:hi] for o, lo, hi in zip(odd, np.concatenate([[0], total[:-1]]), total)]
+            return ids, total
+        whole, stops = self._library([texts[int(i)].as_py() for i in np.flatnonzero(odd)])
+        parts = iter(np.split(whole, stops[:-1]))
+        pieces = [next(parts) if o else ids[lo:hi] for o, lo, hi in zip(odd, np.concatenate([[0], total[:-1]]), total)]
         return np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
