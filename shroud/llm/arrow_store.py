@@ -1,8 +1,8 @@
 """Token ids in Arrow files with fixed-size-list batches.
 
 Documents in ascending order of id are dealt into ranges; each range writes one Arrow file of equal-length sequences
-(``fixed_size_list<uint32>[1024]`` ids and ``fixed_size_list<uint8>[1024]`` mask, 64 sequences a batch), which a reader can
-map into memory and address without copying, and one Arrow file with the documents' places in that stream. A file's
+(``fixed_size_list[1024]`` of ids, as wide as the vocabulary needs, and ``fixed_size_list<bool>[1024]`` of the mask, a bit for each
+id, 64 sequences a batch), which a reader can map into memory and address without copying, and one Arrow file with the documents' places in that stream. A file's
 name has its task's attempt in it, and only files named in the written manifest are read, so retried and speculative
 tasks do no harm.
 
@@ -30,8 +30,8 @@ MANIFEST = "part int, seq_uri string, doc_uri string, n_tokens long, n_docs long
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _schema(length: int, wide: bool) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 def _open(uri: str):
@@ -42,27 +42,28 @@ def _open(uri: str):
 
 def _sequences(ids: np.ndarray, length: int) -> pa.RecordBatch:
     rows = -(-len(ids) // length)
-    full = np.zeros(rows * length, "uint32")
+    full = np.zeros(rows * length, ids.dtype)
     full[: len(ids)] = ids
-    mask = (np.arange(rows * length) < len(ids)).astype("uint8")
-    return pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(full), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=_schema(length))
+    mask = np.arange(rows * length) < len(ids)
+    return pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(full), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=_schema(length, ids.dtype.itemsize == 4))
 
 
 def _writer(folder: str, vocabulary: str, end_id: int, length: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        encode = encoder(vocabulary, True).encode
+        words = encoder(vocabulary, True)
+        width = "uint16" if max(words.library.get_vocab_size(), end_id + 1) <= 1 << 16 else "uint32"
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
         store, path = _open(f"{name}.seq.arrow")
         store.create_dir(path.rpartition("/")[0], recursive=True)
-        rest, n_tokens, n_docs = np.zeros(0, "uint32"), 0, 0
+        rest, n_tokens, n_docs = np.zeros(0, width), 0, 0
         with store.open_output_stream(path) as a, store.open_output_stream(path.replace(".seq.", ".doc.")) as b:
-            with pa.ipc.new_file(a, _schema(length)) as seqs, pa.ipc.new_file(b, DOCS) as docs:
+            with pa.ipc.new_file(a, _schema(length, width == "uint32")) as seqs, pa.ipc.new_file(b, DOCS) as docs:
                 for batch in batches:
-                    for lo in range(0, batch.num_rows, 2000):  # bounds the memory of a batch
-                        part = batch.slice(lo, 2000)
-                        ids, ends = encode(part["text"])
-                        ids = np.insert(ids, ends, end_id).astype("uint32")
+                    for lo in range(0, batch.num_rows, 3000):  # bounds the memory of a batch
+                        part = batch.slice(lo, 3000)
+                        ids, ends = words.encode(part["text"])
+                        ids = np.insert(ids, ends, end_id).astype(width)
                         ends = ends + np.arange(1, len(ends) + 1)
                         starts = np.concatenate([[0], ends[:-1]])
                         docs.write_batch(pa.record_batch([part["doc_id"], pa.array(starts + n_tokens), pa.array(ends - starts)], schema=DOCS))
@@ -88,11 +89,11 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
 
 
 def sequence(uri: str, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence, by its place in a file: views of the mapped file, nothing is copied."""
+    """Ids and mask of one sequence, by its place in a file. The ids are a view of the mapped file; nothing but bits is copied."""
     path = _open(uri)[1]
     with pa.ipc.open_file(pa.memory_map(path)) as file:
-        batch, at = file.get_batch(row // ROWS), row % ROWS
-        return tuple(batch[k].values.to_numpy()[(batch[k].offset + at) * len(batch[k][0]) : (batch[k].offset + at + 1) * len(batch[k][0])] for k in ("ids", "mask"))
+        batch = file.get_batch(row // ROWS)
+        return batch["ids"][row % ROWS].values.to_numpy(), batch["mask"][row % ROWS].values.to_numpy(zero_copy_only=False)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,18 +102,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, path = _open(seq_uri)
             with store.open_input_file(path) as a, store.open_input_file(_open(doc_uri)[1]) as b:
                 seqs, docs = pa.ipc.open_file(a), pa.ipc.open_file(b)
-                stream = (x["ids"].values.to_numpy()[x["mask"].values.to_numpy() == 1] for x in map(seqs.get_batch, range(seqs.num_record_batches)))
-                have = np.zeros(0, "uint32")
+                stream = (x["ids"].values.to_numpy()[x["mask"].values.to_numpy(zero_copy_only=False)] for x in map(seqs.get_batch, range(seqs.num_record_batches)))
+                have = np.zeros(0, "uint16")
                 for i in range(docs.num_record_batches):
                     doc = docs.get_batch(i)
                     sizes, crcs = doc["n_tokens"].to_numpy(), []
                     for n in sizes.tolist():
                         crc = 0
                         while n > len(have):
-                            crc = zlib.crc32(have.astype("<u4", copy=False).tobytes(), crc)
+                            crc = zlib.crc32(have.astype("<u4").tobytes(), crc)
                             n -= len(have)
                             have = next(stream)
-                        crcs.append(zlib.crc32(have[:n].astype("<u4", copy=False).tobytes(), crc))
+                        crcs.append(zlib.crc32(have[:n].astype("<u4").tobytes(), crc))
                         have = have[n:]
                     yield pa.record_batch([doc["doc_id"], pa.array(doc["start"].to_numpy() + base), doc["n_tokens"], pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
