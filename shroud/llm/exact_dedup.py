@@ -106,6 +106,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows repeated as a whole, one."""
+    out = exact_dedup(docs)
+    kept = cut(out.where("kept").select("doc_id", "text_sha256"))
+    same_id = docs["doc_id"].eqNullSafe(kept["doc_id"])
+    if kept.groupBy("doc_id").count().where("count > 1").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(kept, same_id, "left_semi")
+    sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE, " ").cast("binary"), 256)
+    return docs.join(kept, same_id & (sha == kept["text_sha256"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 ORACLE = """
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

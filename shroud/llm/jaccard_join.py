@@ -268,6 +268,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns."""
+    out = jaccard_components(docs)
+    kept = out.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
 ORACLE = """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]

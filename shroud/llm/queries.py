@@ -13,6 +13,7 @@ from .language import identify
 from .packing import pack
 from .quality import classify
 from .spans import substring_dedup
+from .suffix_pieces import encode_digests
 from .url_templates import judge_urls
 from .url_templates import oracle as url_sql
 
@@ -27,6 +28,10 @@ def op1_sentence_spans(spark, sf_dir):
     return substring_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
 
 
+def op2_suffix_array_pieces(spark, sf_dir):
+    return encode_digests(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op3_additive_quality(spark, sf_dir):
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -63,5 +68,5 @@ def op10_url_templates(spark, sf_dir):
     return judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_spans, op3_additive_quality, op4_crf_language, op5_prefix_fingerprints, op6_exact_dedup, op7_packing, op8_arrow_store, op9_jaccard_join, op10_url_templates)}
+QUERIES = {f.__name__: f for f in (op1_sentence_spans, op2_suffix_array_pieces, op3_additive_quality, op4_crf_language, op5_prefix_fingerprints, op6_exact_dedup, op7_packing, op8_arrow_store, op9_jaccard_join, op10_url_templates)}
 ORACLE = {"op9_jaccard_join": JACCARD_SQL, "op6_exact_dedup": EXACT_SQL, "op10_url_templates": url_sql()}

@@ -150,3 +150,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     fields = [f if f.name != text_col else StructField(f.name, StringType()) for f in docs.schema.fields]
     return joined.mapInArrow(clean, StructType([*fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())]))
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated sentences gone and the number of characters brought up to date; all rows stay."""
+    out = substring_dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)

@@ -29,27 +29,15 @@ def encoder(path: str, drops_space: bool) -> "WordEncoder":
     return _encoders[path, drops_space]
 
 
-class WordEncoder:
-    def __init__(self, path: str, drops_space: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class WordTable:
+    """Ids of the distinct words that a worker has met, as Arrow strings and flat arrays."""
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.drops_space = drops_space
+    def __init__(self, encode_words):
+        self.encode_words = encode_words  # a list of words to their ids in a row and where each word's end
         self.known = pa.array([], pa.large_string())
-        self.flat, self.ends = np.zeros(0, "uint32"), np.zeros(0, "int64")  # ids of the known words in a row
+        self.flat, self.ends = np.zeros(0, "uint32"), np.zeros(0, "int64")
 
-    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text's end."""
-        flat, ends = array("I"), []
-        for lo in range(0, len(texts), 20_000):
-            for e in self.library.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False):
-                flat.extend(e.ids)
-                ends.append(len(flat))
-        return np.frombuffer(flat, "uint32") if len(flat) else np.zeros(0, "uint32"), np.array(ends, "int64")
-
-    def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct words: a table, and where each word's begin and end in it."""
         at = pc.index_in(words, value_set=self.known)
         lacks = pc.is_null(at)
@@ -58,7 +46,7 @@ class WordEncoder:
         flat, ends = self.flat, self.ends
         if len(lacking):
             new = words.take(pa.array(lacking))
-            ids, stops = self._library(new.to_pylist())
+            ids, stops = self.encode_words(new.to_pylist())
             rows[lacking] = len(ends) + np.arange(len(lacking))
             ends = np.concatenate([ends, stops + len(flat)])
             flat = np.concatenate([flat, ids])
@@ -66,6 +54,40 @@ class WordEncoder:
                 self.known, self.flat, self.ends = pa.concat_arrays([self.known, new]), flat, ends
         return flat, np.concatenate([[0], ends])[rows], ends[rows] if len(ends) else rows
 
+    def gather(self, words: pa.Array, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose words are ``words[codes]``, up to ``ends`` for each text."""
+        flat, starts, stops = self.look_up(words)
+        total = np.concatenate([[0], np.cumsum((stops - starts)[codes])]) if len(codes) else np.zeros(1, "int64")
+        shift = starts[codes] - total[:-1]
+        return flat[np.arange(total[-1]) + np.repeat(shift, np.diff(total))], total[ends]
+
+
+def with_whole(odd: np.ndarray, ids: np.ndarray, ends: np.ndarray, whole: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Puts the ids of the texts marked ``odd``, encoded by themselves, into their places."""
+    parts = iter(np.split(whole, stops[:-1]))
+    pieces = [next(parts) if o else ids[lo:hi] for o, lo, hi in zip(odd, np.concatenate([[0], ends[:-1]]), ends)]
+    return np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
+
+
+class WordEncoder:
+    def __init__(self, path: str, drops_space: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.drops_space = drops_space
+        self.table = WordTable(self._library)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's end."""
+        flat, ends = array("I"), []
+        for lo in range(0, len(texts), 20_000):
+            for e in self.library.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False):
+                flat.extend(e.ids)
+                ends.append(len(flat))
+        return np.frombuffer(flat, "uint32") if len(flat) else np.zeros(0, "uint32"), np.array(ends, "int64")
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and, for each text, where its ids end. Null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -90,14 +112,7 @@ class WordEncoder:
             codes[begins] = len(distinct) + place
             spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), distinct, pa.scalar("", pa.large_string()))
             distinct = pa.concat_arrays([pc.if_else(pc.starts_with(distinct, "\n"), distinct, spaced), distinct.take(pa.array(at_start))])
-        flat, starts, stops = self._look_up(distinct)
-        total = np.concatenate([[0], np.cumsum((stops - starts)[codes])]) if len(codes) else np.zeros(1, "int64")
-        shift = starts[codes] - total[:-1]
-        ids = flat[np.arange(total[-1]) + np.repeat(shift, np.diff(total))]
-        total = total[ends]
+        ids, total = self.table.gather(distinct, codes, ends)
         if not odd.any():
             return ids, total
-        whole, stops = self._library([texts[int(i)].as_py() for i in np.flatnonzero(odd)])
-        parts = iter(np.split(whole, stops[:-1]))
-        pieces = [next(parts) if o else ids[lo:hi] for o, lo, hi in zip(odd, np.concatenate([[0], total[:-1]]), total)]
-        return np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
+        return with_whole(odd, ids, total, *self._library([texts[int(i)].as_py() for i in np.flatnonzero(odd)]))
