@@ -39,8 +39,11 @@ def write_table(table: Table, path: str | Path) -> None:
             if kind == "jsonl":
                 f.writelines(f"{t}\n" for t in texts)
             else:
-                parts = [" " + t.replace("\n", "\n ") for t in texts]
-                f.write("[\n" + ",\n".join(parts) + "\n]" if parts else "[]")
+                any_row = False
+                for t in texts:
+                    f.write((",\n" if any_row else "[\n") + " " + t.replace("\n", "\n "))
+                    any_row = True
+                f.write("\n]" if any_row else "[]")
         return
     with path.open("w", encoding="utf-8", newline="") as f:
         out = csv.writer(f, delimiter="\t" if kind == "tsv" else ",")
