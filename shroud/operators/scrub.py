@@ -125,9 +125,18 @@ def resolve(spans: DataFrame, dictionary: DataFrame, tokens: DataFrame) -> DataF
 _SPAN = re.compile(SPAN)
 
 
-@F.pandas_udf("array<struct<start:int,stop:int,span:string>>")
-def spans_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": m.start(), "stop": m.end(), "span": m[0]} for m in _SPAN.finditer(t)] if isinstance(t, str) else None)
+def occurrences(pattern: re.Pattern, c: Column) -> Column:
+    """Matches of a pattern with their places, as array<struct<start,stop,span>>."""
+
+    @F.pandas_udf("array<struct<start:int,stop:int,span:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": m.start(), "stop": m.end(), "span": m[0]} for m in pattern.finditer(t)] if isinstance(t, str) else None)
+
+    return found(c)
+
+
+def spans_of(c: Column) -> Column:
+    return occurrences(_SPAN, c)
 
 
 def replace_spans(df: DataFrame, column: str, key: list[str], resolved: DataFrame) -> DataFrame:
@@ -198,15 +207,10 @@ def tokens_in(text: Column) -> Column:
 _TOKEN = re.compile(TOKEN)
 
 
-@F.pandas_udf("array<struct<start:int,stop:int,token:string>>")
-def token_places(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": m.start(), "stop": m.end(), "token": m[0]} for m in _TOKEN.finditer(t)] if isinstance(t, str) else None)
-
-
 def restore(df: DataFrame, column: str, key: list[str], state: State) -> DataFrame:
     """``df`` with known pseudonyms replaced by what was seen first for them; unknown ones stay."""
     has = F.coalesce(F.col(column).rlike(TOKEN), F.lit(False))
-    places = df.where(has).select(*key, F.explode(token_places(F.col(column))).alias("p")).select(*key, "p.*")
+    places = df.where(has).select(*key, F.explode(occurrences(_TOKEN, F.col(column))).alias("p")).select(*key, "p.start", "p.stop", F.col("p.span").alias("token"))
     edits = places.join(state.mapping().select("token", "raw"), "token")
     edits = edits.groupBy(*key).agg(F.collect_list(F.struct("start", "stop", F.col("raw").alias("text"))).alias("_edits"))
     out = df.join(edits, key, "left")

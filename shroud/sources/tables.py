@@ -98,7 +98,9 @@ def read_tables(spark: SparkSession, path: str) -> list[Table]:
     """The tables of one file; raises ``NotTabular`` or ``ValueError`` as the parsers do."""
     if not parse.is_data_file(path):
         raise ValueError(f"unsupported file type: .{parse.extension(path)}")
-    cells = read_cells(spark, path).persist()
+    from ..operators.dictionary import cut
+
+    cells = cut(read_cells(spark, path))  # one parse, and a snapshot if the file changes
     heads = cells.where("ord = -1").orderBy("table_idx").collect()
     if heads and heads[0].error:
         kind, _, text = heads[0].error.partition(": ")
