@@ -173,7 +173,7 @@ def _checked(kind: str, values: Column) -> Column:
     if kind == "RRN":
         return F.filter(values, lambda v: F.substring(digits(v), 3, 2).cast("int").between(1, 12) & F.substring(digits(v), 5, 2).cast("int").between(1, 31))
     if kind == "CARD":
-        return F.filter(values, lambda v: F.length(digits(v)).between(13, 19) & ~digits(v).rlike(r"^(\d)\1+$") & F.luhn_check(digits(v)))
+        return F.filter(values, lambda v: F.length(digits(v)).between(13, 19) & ~digits(v).rlike(r"^(\d)\1+$") & F.call_function("luhn_check", digits(v)))
     return values
 
 
