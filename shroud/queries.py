@@ -179,7 +179,11 @@ SELECT lang, kind, count(*)::BIGINT AS n FROM u GROUP BY ALL
 """)
 def pii_kind_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(detect.GATE))
-    arrays = [F.transform(detect.extract(F.col("text"), *where), lambda v, k=kind: F.lit(k)) for kind, where in (("EMAIL", [2]), ("CARD", [6]), ("PHONE", [10]))]
+
+    def named(kind: str, place: int):
+        return F.transform(detect.extract(F.col("text"), place), lambda v: F.lit(kind))
+
+    arrays = [named("EMAIL", 2), named("CARD", 6), named("PHONE", 10)]
     return docs.select("lang", F.explode(F.flatten(F.array(*arrays))).alias("kind")).groupBy("lang", "kind").agg(F.count("*").alias("n"))
 
 
