@@ -32,4 +32,4 @@ def register(spark: SparkSession) -> None:
     for kind in generalize.SUPPORTED:
         spark.udf.register(f"generalize_{kind}", pandas_udf(generalize.python_of(kind), "string"))
     spark.udf.register("value_shape", pandas_udf(text.shapes_of, "string"))
-    spark.udf.register("pii_rows", detect.rows_udtf())
+    spark.udtf.register("pii_rows", detect.rows_udtf())

@@ -102,7 +102,10 @@ def read_tables(spark: SparkSession, path: str) -> list[Table]:
 
     cells = cut(read_cells(spark, path))  # one parse, and a snapshot if the file changes
     heads = cells.where("ord = -1").orderBy("table_idx").collect()
-    if heads and heads[0].error:
+    if not heads:  # Spark passes over files without a byte
+        nothing = spark.createDataFrame([], CELLS)
+        return [from_cells(nothing, g.name, g.columns) for g in parse.grids(path, b"")]
+    if heads[0].error:
         kind, _, text = heads[0].error.partition(": ")
         raise (NotTabular if kind == "NotTabular" else ValueError)(text)
     return [from_cells(cells.where((F.col("table_idx") == h.table_idx) & (F.col("ord") >= 0)), h.name, list(h.cells)) for h in heads]
