@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 from .tokens import encoder
 
 LENGTH = 1024  # ids in a sequence
@@ -60,8 +60,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, length: int):
         with store.open_output_stream(path) as a, store.open_output_stream(path.replace(".seq.", ".doc.")) as b:
             with pa.ipc.new_file(a, _schema(length, width == "uint32")) as seqs, pa.ipc.new_file(b, DOCS) as docs:
                 for batch in batches:
-                    for lo in range(0, batch.num_rows, 3000):  # bounds the memory of a batch
-                        part = batch.slice(lo, 3000)
+                    for part in slices(batch, "text", 3000):
                         ids, ends = words.encode(part["text"])
                         ids = np.insert(ids, ends, end_id).astype(width)
                         ends = ends + np.arange(1, len(ends) + 1)

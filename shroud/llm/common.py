@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more, rather than when the driver's memory fills."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name below the shared folder, as a URI that executors can write to."""
     base = checkpoint_dir(spark).rstrip("/")
@@ -55,3 +62,17 @@ def held_out(doc_id: Column) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def slices(batch, column: str, rows: int, most: int = 16 << 20):
+    """Slices of an Arrow batch of so many rows and bytes of text at most; a longer text stands alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype("int64"))
+    lo = 0
+    while lo < batch.num_rows:
+        before = total[lo - 1] if lo else 0
+        hi = min(max(int(np.searchsorted(total, before + most, "right")), lo + 1), lo + rows, batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions
@@ -192,6 +192,21 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SCHEMA = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in _OUT.split(", ")])
 
 
+def _count_above(marks: list[int], value: Column) -> Column:
+    """How many of the marks (descending) are above a value; coarse marks first, then those between two of them."""
+
+    def above(values: Column) -> Column:
+        return F.size(F.filter(values, lambda m: m > value))
+
+    if not marks:
+        return F.lit(0)
+    every, step = F.lit(marks).cast("array<long>"), 64
+    if len(marks) <= 4 * step:
+        return above(every)
+    coarse = above(F.lit(marks[step - 1 :: step]).cast("array<long>")) * step
+    return (coarse + above(F.slice(every, coarse + 1, F.lit(step)))).cast("int")
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of the contract for each document, and the length of its common start with the next document."""
     spark = docs.sparkSession
@@ -199,8 +214,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n = partitions(spark)
     marks = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []), reverse=True)
     # Ranges in descending order of id: one number for each partition comes to the driver.
-    bucket = F.size(F.filter(F.lit(marks).cast("array<long>"), lambda m: m > F.col("doc_id"))) if marks else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", _count_above(marks, F.col("doc_id")))
     tops = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("t")).orderBy("bucket").collect()
     if not tops:
         return spark.createDataFrame([], _OUT)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, slices
 
 SAMPLE, SEGMENTS, RUN = 4000, 3, 16
 DIM = 1 << 17  # rows of hashed weights; the last are the lexicon's
@@ -314,8 +314,7 @@ def predict(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = told.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
+            for part in slices(batch, "text", SLICE):
                 n = part.num_rows
                 if not m.langs:
                     yield pa.record_batch([part["doc_id"], pa.array([UND] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n, "int64")), pa.array(np.zeros(n, "int64"))], names=names)

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .tokens import encoder
 
 LENGTH = 1024
@@ -140,8 +141,7 @@ def _packer(vocabulary: str, end_id: int):
         encode = encoder(vocabulary, False).encode
         stream = _Stream(TaskContext.get().partitionId(), _sentence_marks(vocabulary))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 3000):
-                part = batch.slice(lo, 3000)
+            for part in slices(batch, "text", 3000):
                 ids, ends = encode(part["text"])
                 ids = np.insert(ids, ends, end_id).astype("uint32")
                 ends = ends + np.arange(1, len(ends) + 1)

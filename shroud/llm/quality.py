@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, slices
 
 SAMPLE = 20_000  # labelled rows that the fit uses at most
 BINS, PAIR_BINS = 32, 8
@@ -223,8 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
+            for part in slices(batch, "text", SLICE):
                 x = features(part["text"])
                 yield pa.record_batch([part["doc_id"], part["y"], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
@@ -241,8 +240,7 @@ def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: st
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
+            for part in slices(batch, "text", SLICE):
                 s = told.value.score(features(part["text"]))
                 cols = [c for c in part.schema.names if keep or c != "text"]
                 yield pa.record_batch([*[part[c] for c in cols], pa.array(s)], names=[*cols, "score"])

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .tokens import WordTable, with_whole
 
 MARK = "▁"  # stands for a space
@@ -293,8 +294,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
+            for part in slices(batch, "text", SLICE):
                 ids, ends = m.encode(m.normal([t or "" for t in part["text"].to_pylist()]))
                 ends = np.concatenate([[0], ends]).astype("int32")
                 yield pa.record_batch([part["doc_id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype("int32")))], names=["doc_id", "ids"])
@@ -321,8 +321,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
+            for part in slices(batch, "text", SLICE):
                 texts = [t or "" for t in part["text"].to_pylist()]
                 normal = m.normal(texts)
                 flat, ends = m.encode(normal)
