@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detect import with_matches
-from .dictionary import SPAN, State, allocate, cut
+from .dictionary import SPAN, State, allocate, cut, number
 
 # Particles that may follow a known word.
 PARTICLES = (
@@ -27,7 +27,7 @@ PARTICLES = (
 )
 LONGEST_FIRST = tuple(sorted(PARTICLES, key=lambda p: -len(p)))
 TOKEN = r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*_\d{6,}(?![0-9])"
-#: Dictionaries of several words up to which their surfaces go to the executors in one piece.
+#: Surfaces of several words that go to the executors at a time.
 MULTIWORD = 200_000
 #: Resolved spans up to which they go to the executors in one piece; beyond, texts are joined with them.
 SPANS = 500_000
@@ -66,13 +66,17 @@ def replace_surfaces(text: str, surfaces: list[str], into: list[str], finder=Non
 
 def multiword(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     """``df`` with the column's known surfaces of several words replaced, and their number in ``hits``."""
-    rows = dictionary.where("multiword").groupBy("surface").agg(F.min_by("replacement", "seq").alias("replacement"))
-    rows = rows.orderBy(F.length("surface").desc(), "surface").limit(MULTIWORD + 1).collect()
-    if not rows:
-        return df.withColumn("hits", F.lit(0))
-    if len(rows) > MULTIWORD:
-        raise ValueError(f"more than {MULTIWORD} surfaces of several words: split the dictionary by file and scrub in turns")
-    surfaces, into = [r.surface for r in rows], [r.replacement for r in rows]
+    known = dictionary.where("multiword").groupBy("surface").agg(F.min_by("replacement", "seq").alias("replacement"))
+    known = cut(number(known.withColumn("order", F.struct((-F.length("surface")).alias("l"), "surface")), [], "order", "place"))
+    df, most = df.withColumn("hits", F.lit(0)), known.count()
+    for lo in range(0, most, MULTIWORD):  # one turn unless the dictionary is very large; turns keep the order
+        part = known.where(F.col("place").between(lo + 1, lo + MULTIWORD)).orderBy("place").collect()
+        df = _replace_all(df, column, [r.surface for r in part], [r.replacement for r in part])
+        df = cut(df) if most > MULTIWORD else df
+    return df
+
+
+def _replace_all(df: DataFrame, column: str, surfaces: list[str], into: list[str]) -> DataFrame:
     told = df.sparkSession.sparkContext.broadcast((surfaces, into))
 
     @F.pandas_udf("struct<text:string,hits:int>")
@@ -88,7 +92,7 @@ def multiword(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
         out = [replace_surfaces(t, *known, finder) if isinstance(t, str) else (None, 0) for t in texts]
         return pd.DataFrame(out, columns=["text", "hits"])
 
-    return df.withColumn("_m", replaced(F.col(column))).withColumns({column: F.col("_m.text"), "hits": F.col("_m.hits")}).drop("_m")
+    return df.withColumn("_m", replaced(F.col(column))).withColumns({column: F.col("_m.text"), "hits": F.col("hits") + F.col("_m.hits")}).drop("_m")
 
 
 # ---- single spans ----

@@ -44,6 +44,22 @@ def test_fails_closed(spark, tmp_path, monkeypatch):
     assert streaming.scrub_batch(safe, "text", ["k"], state, attachment="kind").where("withheld").isEmpty()
 
 
+def test_multiword_surfaces_in_turns(spark, monkeypatch):
+    import random
+
+    from shroud.operators import scrub as scrubbing
+
+    rng = random.Random(2)
+    surfaces = sorted({" ".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(rng.randint(2, 4))) for _ in range(90)}, key=lambda s: (-len(s), s))
+    texts = [" ".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(30)) for _ in range(20)]
+    known = spark.createDataFrame([(s, f"<{i}>", True, 1) for i, s in enumerate(surfaces)], "surface string, replacement string, multiword boolean, seq long")
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    want = [scrubbing.replace_surfaces(t, surfaces, [f"<{i}>" for i in range(len(surfaces))]) for t in texts]
+    for most in (1000, 7):
+        monkeypatch.setattr(scrubbing, "MULTIWORD", most)
+        assert [(r.t, r.hits) for r in scrubbing.multiword(df, "t", known).orderBy("k").collect()] == want
+
+
 def test_multiword_surfaces_longest_first(spark, tmp_path):
     state = state_of(spark, tmp_path / "m")
     rows = [("f", "c", "Main Street 5", "[A]", 1), ("f", "c", "Main Street 5, Springfield", "[B]", 2), ("f", "c", "xy", "[C]", 3), ("f", "d", "xy", "[D]", 4), ("f", "c", "12", "N_000001", 5)]
