@@ -13,7 +13,8 @@ from .functions.generalize import generalize
 from .operators import profile as profiling
 from .operators.dictionary import State, allocate, cut, lookup_rows
 from .operators.scrub import resolve, restore, scrub, spans_of, splice, tokens_in
-from .sources.tables import from_dataframe
+from .sources.sinks import json_records, write_parts
+from .sources.tables import CELLS, parse_files, from_dataframe, read_cells
 from .streaming.scrub import scrub_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -497,6 +498,186 @@ def command_paths(spark, sf_dir):
     return rows.select("page_id", content.data_paths_column(F.concat(F.lit("cat "), "url", F.lit(".csv > x")))[0].alias("path"))
 
 
+# ---- files: tables written by the sinks and read back by the sources ----
+
+
+def _scratch(spark) -> str:
+    return own_state(spark).root
+
+
+def _cells(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.where("ord >= 0").select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
+
+
+@query("SELECT c_custkey::VARCHAR AS k, c_name || ', \"' || c_mktsegment || '\"' AS label, nullif(repeat('x', (c_nationkey % 3)::INT), '') AS blank FROM customer")
+def source_delimited(spark, sf_dir):
+    """Quotes, separators and empty cells through part files and back."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr("concat(c_name, ', \"', c_mktsegment, '\"')").alias("label"), F.expr("repeat('x', c_nationkey % 3)").alias("blank"))
+    folder = _scratch(spark)
+    write_parts(from_dataframe("customer", rows.withColumn("o", F.col("k")), "o", ["k", "label", "blank"]), folder)
+    return _cells(read_cells(spark, f"{folder}/*.csv"), ["k", "label", "blank"])
+
+
+@query("SELECT s_suppkey::VARCHAR AS k, s_name AS name, s_nationkey::VARCHAR AS nation FROM supplier")
+def source_json_lines(spark, sf_dir):
+    folder = _scratch(spark)
+    write_parts(from_dataframe("supplier", table(spark, sf_dir, "supplier").coalesce(1).withColumn("o", F.col("s_suppkey")), "o", ["s_suppkey", "s_name", "s_nationkey"]), folder, "jsonl")
+    files = spark.read.format("binaryFile").load(f"{folder}/*.json").select(F.regexp_replace("path", r"\.json$", ".jsonl").alias("path"), "content")
+    return _cells(files.mapInArrow(parse_files, CELLS), ["k", "name", "nation"])
+
+
+@query("SELECT n_nationkey::VARCHAR AS k, n_name AS name, CASE WHEN n_regionkey = 0 THEN NULL ELSE n_regionkey::VARCHAR END AS region, '[' || n_nationkey || ', \"' || n_name || '\"]' AS nested FROM nation")
+def source_json(spark, sf_dir):
+    """A list of records with nulls and nested values."""
+    record = F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.expr("nullif(n_regionkey, 0)").alias("region"))
+    rows = table(spark, sf_dir, "nation").select(F.to_json(record, {"ignoreNullFields": "false"}).alias("j"), F.expr("concat('[', n_nationkey, ',\"', n_name, '\"]')").alias("n"))
+    whole = rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.expr("concat(substring(j, 1, length(j) - 1), ',\"nested\":', n, '}')")), ",\n"), F.lit("]")).alias("t"))
+    files = whole.select(F.lit("nation.json").alias("path"), F.col("t").cast("binary").alias("content"))
+    return _cells(files.mapInArrow(parse_files, CELLS), ["k", "name", "region", "nested"])
+
+
+@query("SELECT r_regionkey::VARCHAR AS k, r_name AS name, strftime(DATE '1899-12-30' + (32874 + r_regionkey)::INT, '%Y-%m-%d') AS day FROM region")
+def source_workbook(spark, sf_dir):
+    """A workbook with numbers, inline text and dates, made by the executors."""
+    rows = table(spark, sf_dir, "region").select("r_regionkey", "r_name").agg(F.sort_array(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("rows"))
+
+    def make(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        for batch in batches:
+            for found in batch["rows"].to_pylist():
+                text = '<c r="{}" t="inlineStr"><is><t>{}</t></is></c>'.format
+                lines = "<row>" + text("A1", "k") + text("B1", "name") + text("C1", "day") + "</row>"
+                for i, r in enumerate(found, 2):
+                    lines += f'<row><c r="A{i}"><v>{r["r_regionkey"]}</v></c>{text(f"B{i}", r["r_name"])}<c r="C{i}" s="1"><v>{32874 + r["r_regionkey"]}</v></c></row>'
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="region" r:id="r1"/></sheets></workbook>')
+                    z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/a.xml"/></Relationships>')
+                    z.writestr("xl/styles.xml", f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+                    z.writestr("xl/worksheets/a.xml", f"<worksheet {main}><sheetData>{lines}</sheetData></worksheet>")
+                yield pa.record_batch([pa.array(["region.xlsx"]), pa.array([out.getvalue()], pa.binary())], names=["path", "content"])
+
+    return _cells(rows.mapInArrow(make, "path string, content binary").mapInArrow(parse_files, CELLS), ["k", "name", "day"])
+
+
+@query("SELECT n_nationkey AS k, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"note\":null}' AS value FROM nation")
+def sink_json_records(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("note"))
+    out = json_records(rows)
+    return out.select(F.get_json_object("value", "$.n_nationkey").cast("int").alias("k"), "value")
+
+
+# ---- scalars of the engine, on values made from keys ----
+
+
+@query("""
+WITH v AS (SELECT c_custkey AS k, ['김','이','박','쀍','abc'][(c_custkey % 5 + 1)::INT] || ['하늘','서','명','나 무','새벽길'][(c_custkey // 5 % 5 + 1)::INT] AS v FROM customer)
+SELECT k, v, k % 5 < 3 AND k // 5 % 5 IN (0, 1, 4) AS person FROM v
+""")
+def name_like_synth(spark, sf_dir):
+    made = "concat(element_at(array('김','이','박','쀍','abc'), cast(c_custkey % 5 + 1 as int)), element_at(array('하늘','서','명','나 무','새벽길'), cast(c_custkey div 5 % 5 + 1 as int)))"
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr(made).alias("v"))
+    return rows.withColumn("person", text.name_like(F.col("v")))
+
+
+@query("""
+WITH v AS (SELECT o_orderkey AS k, o_orderkey % 15 AS m, o_orderkey % 34 AS d FROM orders)
+SELECT k, CASE k % 3 WHEN 0 THEN printf('2024-%d-%d', m::INT, d::INT) WHEN 1 THEN printf('2024%02d%02d', m::INT, d::INT) ELSE printf('2024/%d/%d 10:00', m::INT, d::INT) END AS v,
+  m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AS is_date FROM v
+""")
+def is_date_synth(spark, sf_dir):
+    m, d = "o_orderkey % 15", "o_orderkey % 34"
+    made = f"case o_orderkey % 3 when 0 then format_string('2024-%d-%d', {m}, {d}) when 1 then format_string('2024%02d%02d', {m}, {d}) else format_string('2024/%d/%d 10:00', {m}, {d}) end"
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr(made).alias("v"))
+    return rows.withColumn("is_date", text.is_date(F.col("v")))
+
+
+@query("SELECT page_id, '/' || split_part(split_part(url, '://', 2), '/', 1) || '/c' AS path FROM pages WHERE url LIKE '%://%/%' AND NOT contains(split_part(split_part(url, '://', 2), '/', 1), '?')")
+def path_normalize(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").where("url like '%://%/%'").select("page_id", F.split(F.split("url", "://")[1], "/")[0].alias("h")).where("not contains(h, '?')")
+    return rows.select("page_id", content.normalize_path_column(F.concat(F.lit("/./a//..\\\\"), "h", F.lit("/b/../../"), "h", F.lit("/./c/"))).alias("path"))
+
+
+@query(r"""
+WITH f AS (SELECT conv_id, turn, trim(regexp_replace(text, '[\x00-\x1f\x7f]+', ' ', 'g')) AS t FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, to_json(CASE WHEN len(t) > 40 THEN substr(t, 1, 40) || '…' ELSE t END)::VARCHAR AS shown FROM f
+""")
+def dialog_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    return rows.select("conv_id", "turn", content.for_dialog_column(F.col("text"), 40).alias("shown"))
+
+
+@query("""
+SELECT c_custkey, [printf('CUSTOMER_%06d', c_custkey::INT), printf('A_B_%07d', c_custkey::INT)]::VARCHAR AS tokens FROM customer
+""")
+def tokens_in_text(spark, sf_dir):
+    made = "format_string('see CUSTOMER_%06d이, xCUSTOMER_%06d, CUSTOMER_12345 A_B_%07d and CUSTOMER_%06d', c_custkey, c_custkey, c_custkey, c_custkey)"
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("["), F.array_join(tokens_in(F.expr(made)), ", "), F.lit("]")).alias("tokens"))
+
+
+@query("SELECT c_custkey, 'call ' || c_name || '이 or CUSTOMER_999999' AS text FROM customer")
+def restore_known(spark, sf_dir):
+    """Texts with pseudonyms that the state knows, and one that it does not."""
+    customer, state = table(spark, sf_dir, "customer"), own_state(spark)
+    known = cut(allocate(_keys(customer, "CUSTOMER", "c_name", "c_custkey"), state.mapping()))
+    state.commit(mapping=known)
+    texts = customer.join(known, F.col("c_name") == F.col("raw")).select("c_custkey", F.concat(F.lit("call "), "token", F.lit("이 or CUSTOMER_999999")).alias("text"))
+    return restore(texts, "text", ["c_custkey"], state)
+
+
+@query("SELECT conv_id, count(*)::BIGINT AS texts, sum(len(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
+def content_blocks(spark, sf_dir):
+    """Conversations as content blocks: texts taken out, changed, and put back into their places."""
+    made = "case turn % 3 when 0 then named_struct('type', 'text', 'text', text, 'result', null, 'blocks', null) when 1 then named_struct('type', 'tool_result', 'text', null, 'result', text, 'blocks', null) else named_struct('type', 'tool_result', 'text', null, 'result', null, 'blocks', array(named_struct('type', 'image', 'text', cast(null as string)), named_struct('type', 'text', 'text', text))) end"
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.expr(made)).alias("b")).select("conv_id", F.col("b").cast(content.BLOCKS).alias("b"))
+    back = rows.select("conv_id", content.with_texts_column(F.col("b"), F.transform(content.texts_of_column(F.col("b")), F.reverse)).alias("b"))
+    texts = back.select("conv_id", content.texts_of_column(F.col("b")).alias("t"))
+    return texts.select("conv_id", F.size("t").cast("long").alias("texts"), F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("chars"))
+
+
+# ---- decisions, applied ----
+
+
+@query("""
+SELECT printf('%06d', c_custkey::INT) AS k, printf('PERSON_%06d', (row_number() OVER (ORDER BY c_custkey))::INT) AS customer_name,
+  CASE WHEN len(c_custkey::VARCHAR) > 3 THEN substr(c_custkey::VARCHAR, 1, 3) || '**' ELSE '[REDACTED]' END AS zip,
+  (c_custkey % 90 // 5 * 5) || '-' || (c_custkey % 90 // 5 * 5 + 4) AS age,
+  'agent ' || printf('PERSON_%06d', (row_number() OVER (ORDER BY c_custkey))::INT) || ' on ' || printf('PHONE_%06d', (row_number() OVER (ORDER BY c_custkey))::INT) AS memo
+FROM customer
+""")
+def apply_customer(spark, sf_dir):
+    """A table profiled, decided and copied: pseudonyms, coarser values, a dropped column, and free text scrubbed against the masks."""
+    from .operators.apply import apply_plan
+    from .operators.profile import TableProfile
+    from .plans.decisions import compile_plan
+
+    made = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o"), F.format_string("%06d", "c_custkey").alias("k"), F.col("c_name").alias("customer_name"), F.col("c_custkey").cast("string").alias("zip"),
+        (F.col("c_custkey") % 90).cast("string").alias("age"), F.col("c_mktsegment").alias("segment"),
+        F.concat(F.lit("agent "), "c_name", F.lit(" on 010-"), F.format_string("%04d-%04d", F.expr("c_custkey div 10000"), F.expr("c_custkey % 10000"))).alias("memo"),
+    )
+    t = from_dataframe("customer", made, "o")
+    found = [TableProfile(t.name, 0, profiling.profile_columns(t))]
+    decisions = [
+        {"column": "customer_name", "action": "pseudonymize", "entity": "person"}, {"column": "segment", "action": "drop"}, {"column": "age", "action": "generalize"},
+        {"column": "memo", "action": "keep"}, {"column": "#1", "action": "keep"},
+    ]
+    (copy,) = apply_plan(own_state(spark), "f", [t], compile_plan(decisions, found))
+    return copy.df.select(*[F.col(p).alias(n) for p, n in zip(copy.physical, copy.columns)])
+
+
+@query()
+def profile_documents(spark, sf_dir):
+    """The profile of a table with long texts."""
+    t = from_dataframe("documents", table(spark, sf_dir, "documents"), "doc_id", ["text", "lang", "source", "n_chars"])
+    return profiling.profile_frame(t).select("name", "type", "total", "distinct_values", "kind")
+
+
 @query()
 def status_files(spark, sf_dir):
     from .engine import Engine

@@ -55,7 +55,7 @@ def write_parts(table: Table, path: str, kind: str = "csv") -> None:
     """Part files written by the executors; names are the shown ones, made unique."""
     df = table.df.select(*[F.col(p).alias(n) for p, n in zip(table.physical, unique_names(table.columns))])
     if kind in ("csv", "tsv"):
-        df.write.mode("overwrite").option("header", True).option("sep", "\t" if kind == "tsv" else ",").option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+        df.write.mode("overwrite").option("header", True).option("sep", "\t" if kind == "tsv" else ",").option("lineSep", "\r\n").option("emptyValue", "").option("escape", "\"").csv(path)
     elif kind in ("json", "jsonl"):
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     else:

@@ -46,7 +46,7 @@ def cells_of(path: str, raw: bytes) -> Iterator[tuple]:
         yield path, -1, None, -1, None, f"{type(e).__name__}: {e}"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, raw in zip(batch["path"].to_pylist(), batch["content"]):
             rows = []
@@ -62,7 +62,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_cells(spark: SparkSession, *paths: str) -> DataFrame:
     """All cells of any number of files, by one job; a file that can't be read gives one row with its error."""
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.mapInArrow(_parse, CELLS)
+    return files.mapInArrow(parse_files, CELLS)
 
 
 class TableSource(DataSource):
@@ -127,7 +127,7 @@ def from_dataframe(name: str, df: DataFrame, order: str, columns: list[str] | No
 
 
 def read_delimited_native(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    return spark.read.option("sep", separator).option("header", True).option("multiLine", False).option("inferSchema", False).csv(path)
+    return spark.read.option("sep", separator).option("header", True).option("multiLine", False).option("escape", "\"").option("inferSchema", False).csv(path)
 
 
 def read_json_lines_native(spark: SparkSession, path: str) -> DataFrame:
