@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that nothing refers to any more, rather than when the driver's memory fills."""
+    """Let Spark delete the shuffle files of tables that nothing refers to any more, rather than when the driver's memory fills.
+
+    Python tells the JVM of dropped references by a thread of its own, which has to come first.
+    """
     gc.collect()
+    told = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ())
+    for _ in range(30):
+        if not told:
+            break
+        time.sleep(0.1)
+    time.sleep(0.1)
     spark._jvm.System.gc()
 
 

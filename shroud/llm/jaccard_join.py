@@ -8,8 +8,9 @@
    (shingle, document); shingles of one document alone drop out.
 4. In the group of a shingle, members are first joined with the group's smallest document only. What these joins link is
    merged into components.
-5. Where a group still has several components, its members of different components are paired, if their sizes and the
-   places of the shingle in both sets leave room for enough overlap. These pairs are joined too, and components merged again.
+5. Where a group still has several components, its members of different components are paired, if their sizes, the places
+   of a shingle in both sets and the number of shingles that their prefixes share leave room for enough overlap. These pairs are
+   joined too, and components merged again.
    Pairs within one component are not needed for the components, so none that matters is lost.
 
 A join of documents with a pivot: the members' sets, in the global order reversed so that frequent shingles come first,
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remove_dir, scratch_dir
+from .common import cut, release, remove_dir, scratch_dir, slices
 from .shingles import set_key, shingle_sets
 
 NUM, DEN = 4, 5  # similarity of 4/5 or more
@@ -59,8 +60,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([*[pa.nulls(len(tokens), pa.int64())] * 4, pa.array(tokens.view("int64")), pa.array(times)], names=names)
 
     for batch in batches:
-        for lo in range(0, batch.num_rows, SLICE):
-            part = batch.slice(lo, SLICE)
+        for part in slices(batch, "text", SLICE):
             sets = shingle_sets(part["text"])
             keys = [set_key(s) for s in sets]
             m = part.num_rows
@@ -106,6 +106,30 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def _alike(n: str, m: str) -> Column:
+    """Whether sets of these sizes can reach the similarity."""
+    return NUM * F.greatest(n, m) <= DEN * F.least(n, m)
+
+
+def _least_common(n: str, m: str) -> Column:
+    """Shingles that the prefixes of sets of these sizes must share at least.
+
+    Of the two prefixes, one ends first in the global order. What the sets share up to there lies in both prefixes; what
+    they share beyond lies in the rest of that set. So the overlap is at most the common part of the prefixes and the larger rest.
+    """
+    need = F.ceil(NUM * (F.col(n) + F.col(m)) / F.lit(NUM + DEN))
+    rest = F.ceil(NUM * F.greatest(n, m) / F.lit(DEN)) - 1
+    return need - rest
+
+
+def _plausible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes and prefixes leave room for the similarity. ``heads``: rep, n, tokens."""
+    left, right = heads.toDF("a", "n_a", "t_a"), heads.toDF("b", "n_b", "t_b")
+    common = F.size(F.array_intersect("t_a", "t_b"))
+    found = pairs.join(left, "a").join(right, "b").where(_alike("n_a", "n_b") & (common >= _least_common("n_a", "n_b")))
+    return found.select("a", "b").distinct()
+
+
 def tree_join(pivot: np.ndarray, members: list[np.ndarray]) -> list[int]:
     """Indices of members whose similarity to the pivot reaches the bound. All sets are in one global order, frequent first."""
     order = sorted(range(len(members)), key=lambda i: members[i].tobytes())
@@ -165,8 +189,7 @@ def _ship(order):
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
+            for part in slices(batch, "text", SLICE):
                 rows = []
                 for doc_id, s, trees in zip(part["doc_id"].to_pylist(), shingle_sets(part["text"]), part["trees"].to_pylist()):
                     raw = order.value.sort(s)[::-1].tobytes()
@@ -183,8 +206,8 @@ def _ship(order):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, order) -> DataFrame:
-    """The pairs (a, b) of documents that reach the similarity."""
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("members"))
+    """The pairs (a, b) of documents that reach the similarity. ``pairs`` are written already."""
+    sizes = cut(pairs.groupBy("a").agg(F.count("*").alias("members")))  # written, so that a hot pivot's join can be split
     trees = F.ceil(F.col("members") / TREE)
     dealt = cut(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), trees).alias("tree")))
     goes = dealt.select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), "tree").unionByName(dealt.select("a", "tree").distinct().select(F.col("a").alias("doc_id"), F.col("a").alias("pivot"), "tree"))
@@ -216,12 +239,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = first.where("n is not null").select("doc_id", "n", "k1", "k2")
     often = first.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(COMMON).toArrow()
     order = spark.sparkContext.broadcast(Order(often["token"].to_numpy().view("uint64"), often["times"].to_numpy()))
+    rows = cut(rows)
+    del first
     classes = cut(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
+            for part in slices(batch, "text", SLICE):
                 ids, sets = part["doc_id"].to_numpy(), [s for s in shingle_sets(part["text"])]
                 heads = [order.value.sort(s)[: prefix_length(len(s))] for s in sets]
                 size = np.array([len(h) if len(s) else 0 for h, s in zip(heads, sets)], "int64")
@@ -233,28 +257,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     folder = scratch_dir(spark)
     reps = texts.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     reps.mapInArrow(prefixes, "token long, rep long, n int, pos int").write.parquet(f"{folder}/prefixes")
+    del reps
+    release(spark)
     table = spark.read.parquet(f"{folder}/prefixes")
     shared = table.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("pivot")).where("df > 1").select("token", "pivot")
     table.join(shared, "token").write.parquet(f"{folder}/shared")
     table = spark.read.parquet(f"{folder}/shared")
+    del shared
+    remove_dir(spark, f"{folder}/prefixes")
+    release(spark)
 
     # Step 4: each member with its group's smallest document.
-    sized = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    star = table.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("n").alias("n_b")).distinct()
-    star = star.join(sized, "a").where(f"{NUM} * greatest(n_a, n_b) <= {DEN} * least(n_a, n_b)").select("a", "b").distinct()
+    heads = cut(table.groupBy("rep", "n").agg(F.collect_list("token").alias("tokens")))  # the shared shingles of a prefix
+    star = cut(table.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    star = cut(_plausible(star, heads))
     links = _verify(star, texts, order)
+    release(spark)
     joined = components(links)
 
     # Step 5: members of different components in one group.
     table = table.drop("pivot").join(joined.select(F.col("v").alias("rep"), "c"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("c", "rep").alias("c"))
     mixed = table.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    table = cut(table.join(mixed, "token", "left_semi"))
+    table.join(mixed, "token", "left_semi").write.parquet(f"{folder}/mixed")
+    table = spark.read.parquet(f"{folder}/mixed")
+    del mixed
+    remove_dir(spark, f"{folder}/shared")
+    release(spark)
     other = table.toDF("token", "rep2", "n2", "pos2", "c2")
-    room = F.lit(1) + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1
-    fits = ((DEN + NUM) * room >= NUM * (F.col("n") + F.col("n2"))) & (NUM * F.greatest("n", "n2") <= DEN * F.least("n", "n2"))
-    more = table.join(other, "token").where((F.col("rep") < F.col("rep2")) & (F.col("c") != F.col("c2")) & fits)
-    more = more.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    more = _verify(more.join(star, ["a", "b"], "left_anti"), texts, order)
+    room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    fits = (DEN + NUM) * room >= NUM * (F.col("n") + F.col("n2"))
+    more = table.join(other, "token").where((F.col("rep") < F.col("rep2")) & (F.col("c") != F.col("c2")) & _alike("n", "n2") & fits)
+    more = cut(more.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
+    more = cut(_plausible(more, heads).join(star, ["a", "b"], "left_anti"))
+    del table, other, star, heads
+    release(spark)
+    more = _verify(more, texts, order)
     joined = components(links.unionByName(more))
 
     known = cut(classes.join(joined, classes["rep"] == joined["v"], "left").select("k1", "k2", "n", F.coalesce("c", "rep").alias("c")))
