@@ -25,7 +25,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_sentence_spans(spark, sf_dir):
-    return substring_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
+    return substring_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
 def op2_suffix_array_pieces(spark, sf_dir):

@@ -6,8 +6,9 @@ that, seen from its first or from its last sentence, is hashed to 128 bits. Equa
 corpus, which keeps the smallest id; a join marks the runs of all other documents, and those that stand a second time
 in their own text, and the sentences that they cover are removed. Text between the removed sentences stays as it was, byte for byte.
 
-The grouping combines on the map side and the join may be split by Spark where a run is hot; what is gathered for a
-document is bounded by its own sentences.
+Documents are dealt into parts by their identifier. Equal runs of one part travel as one row with all their places, so a run
+that very many documents share is a row for each part, not for each document; the join may be split by Spark all the same.
+The rows go back to their part, where they meet its documents. Hashes of all runs are written once to the shared checkpoint folder.
 
 Defined results: null text stays null, empty stays empty; a text whose sentences are all covered becomes empty; a repeated
 row (same id and text) counts once, and each copy gets the same result; rows with equal ids and different texts count as
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .common import cut, partitions, release, remove_dir, scratch_dir
+
 SENTENCES, WORDS, PIECE = 3, 15, 16
 NO_ID = -(2**63)
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
@@ -92,64 +95,119 @@ def run_hashes(texts: list[str], first: np.ndarray, last: np.ndarray) -> tuple[n
     return out[0], out[1]
 
 
+ITEM = np.dtype([("key", "<i8"), ("run", "<i8")])
+TAG = 14  # bits of the text's hash that stand above a run's place, to tell rows with equal ids apart
+SPANS = "h1 long, h2 long, p int, n int, key long, run long, more binary"
+_SPANS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("run", pa.int64()), ("more", pa.binary())])
+
+
+def _tag(th: int) -> int:
+    return th & ((1 << TAG) - 1)
+
+
+def _combined(parts: list[tuple]) -> pa.RecordBatch:
+    """Runs that are equal and of one part, brought together: one row with the first place, and all others in ``more``."""
+    h1, h2, p = (np.concatenate([x[i] for x in parts]) for i in range(3))
+    items = np.concatenate([x[3] for x in parts])
+    order = np.lexsort((items["run"], items["key"], p, h2, h1))
+    h1, h2, p, items = h1[order], h2[order], p[order], items[order]
+    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (p[1:] != p[:-1])])
+    at = np.flatnonzero(new)
+    n = np.diff(np.concatenate([at, [len(h1)]]))
+    offsets = np.concatenate([[0], np.cumsum(n - 1)]) * ITEM.itemsize
+    raw = items[~new].tobytes()
+    more = pa.BinaryArray.from_buffers(pa.binary(), len(at), [pa.array(n > 1).buffers()[1], pa.py_buffer(offsets.astype("int32")), pa.py_buffer(raw)])
+    return pa.record_batch([pa.array(h1[at]), pa.array(h2[at]), pa.array(p[at]), pa.array(n.astype("int32")), pa.array(items["key"][at].copy()), pa.array(items["run"][at].copy()), more], schema=_SPANS)
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["h1", "h2", "key", "th", "run"]
+    parts, rows = [], 0
     for batch in batches:
-        cols: list[list[np.ndarray]] = [[] for _ in names]
-        rows = 0
-        for key, th, text in zip(batch["key"].to_pylist(), batch["th"].to_pylist(), batch["text"].to_pylist()):
+        for p, key, th, text in zip(*(batch[c].to_pylist() for c in ("p", "key", "th", "text"))):
             ends, sizes, texts = sentences(text or "")
             first, last = runs(sizes)
             if len(first):
                 h1, h2 = run_hashes(texts, first, last)
                 again = np.ones(len(first), "int64")  # the same run stands earlier in this text
-                again[np.unique(np.column_stack([h1, h2]), axis=0, return_index=True)[1]] = 0
-                for c, x in zip(cols, (h1, h2, np.full(len(first), key), np.full(len(first), th), first << 25 | (last - first) << 1 | again)):
-                    c.append(x)
+                again[np.unique(h1 ^ (h2 * np.int64(3)), return_index=True)[1]] = 0
+                items = np.empty(len(first), ITEM)
+                items["key"] = key
+                items["run"] = _tag(th) << 49 | first << 25 | (last - first) << 1 | again
+                parts.append((h1, h2, np.full(len(first), p, "int32"), items))
                 rows += len(first)
-            if rows > 50_000:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=names)
-                cols, rows = [[] for _ in names], 0
-        if rows:
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=names)
+            if rows > 500_000:  # bounds the memory; equal runs in two rows do no harm
+                yield _combined(parts)
+                parts, rows = [], 0
+    if rows:
+        yield _combined(parts)
 
 
-def remove_runs(text: str, covered: list[int]) -> tuple[str, int, int]:
-    """The text without the sentences that the runs cover, and the numbers of sentences and of removed ones."""
+def remove_runs(text: str, covered: list[int]) -> tuple[str, int]:
+    """The text without the sentences that the runs cover, and the number of removed ones."""
+    if not covered:
+        return text, 0
     ends, _, _ = sentences(text)
     gone = np.zeros(len(ends) + 1, "int64")
     for run in covered:
-        gone[run >> 25] += 1
-        gone[(run >> 25) + (run >> 1 & 0xFFFFFF) + 1] -= 1
+        first = run >> 25 & 0xFFFFFF
+        gone[first] += 1
+        gone[first + (run >> 1 & 0xFFFFFF) + 1] -= 1
     gone = np.cumsum(gone)[:-1] > 0
-    if not gone.any():
-        return text, len(ends), 0
     kept = [text[lo:hi] for lo, hi, g in zip([0, *ends[:-1]], ends, gone.tolist()) if not g]
-    return "".join(kept), len(ends), int(gone.sum())
+    return "".join(kept), int(gone.sum())
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated sentences gone from the text, and two more columns: n_sentences, n_removed."""
-    docs = docs.drop("n_sentences", "n_removed")
+    """``docs`` with the repeated sentences gone from the text, and one more column: n_removed, the number of these sentences."""
+    spark = docs.sparkSession
+    docs = docs.drop("n_removed")
+    n = partitions(spark)
     key, th = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.col(text_col).cast("string"))
     packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    rows = docs.select(packed.alias("row"), key.alias("key"), th.alias("th"), F.col(text_col).alias("text"))
-    spans = rows.select("key", "th", "text").mapInArrow(_spans, "h1 long, h2 long, key long, th long, run long")
-    seen = spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("one")).where("n > 1").select("h1", "h2", "one")
-    bad = spans.join(seen, ["h1", "h2"]).where("key != one or run % 2 = 1").groupBy("key", "th").agg(F.collect_set("run").alias("covered"))
-    joined = rows.drop("text").join(bad, ["key", "th"], "left").select("row.*", "covered")
+    rows = docs.select(F.pmod(F.xxhash64(key, th), F.lit(n)).cast("int").alias("p"), key.alias("key"), th.alias("th"), F.col(text_col).alias("text"), packed.alias("row"))
+    folder = scratch_dir(spark)
+    rows.select("p", "key", "th", "text").repartition(n, "p").mapInArrow(_spans, SPANS).write.parquet(folder)
+    release(spark)
+    spans = spark.read.parquet(folder)
+    # Written, so that the join of a hot run can be split.
+    seen = cut(spans.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("key").alias("one")).where("n > 1").select("h1", "h2", "one"))
+    release(spark)
+    places = spans.select("h1", "h2", "p", F.col("key").alias("at"), "run", "more")
+    # A first place alone in its part needs no mark.
+    marks = cut(places.join(seen, ["h1", "h2"]).where("more is not null or at <> one or run % 2 = 1").select("p", "one", "at", "run", "more"))
+    del spans, places, seen
+    remove_dir(spark, folder)
+    release(spark)
+    # The marks of a part, then its documents.
+    none = F.lit(None).cast(rows.schema["row"].dataType)
+    both = marks.select("p", F.lit(0).alias("order"), "one", F.col("at").alias("key"), "run", "more", none.alias("row"))
+    both = both.unionByName(rows.select("p", F.lit(1).alias("order"), F.lit(None).cast("long").alias("one"), "key", F.col("th").alias("run"), F.lit(None).cast("binary").alias("more"), "row"))
+    both = both.repartition(n, "p").sortWithinPartitions("p", "order")
     names = docs.columns
     slot = names.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, covered = None, {}
         for batch in batches:
-            text, found = batch.column(slot).to_pylist(), batch.column(len(names)).to_pylist()
-            done = [(t, 0, 0) if t is None else remove_runs(t, c or []) for t, c in zip(text, found)]
-            cols = [batch.column(i) if i != slot else pa.array([d[0] for d in done], pa.string()) for i in range(len(names))]
-            yield pa.record_batch([*cols, *(pa.array([d[k] for d in done], pa.int64()) for k in (1, 2))], names=[*names, "n_sentences", "n_removed"])
+            order = batch["order"].to_numpy()
+            out = []
+            for p, o, one, key, run, more in zip(*(batch[c].to_pylist() for c in ("p", "order", "one", "key", "run", "more"))):
+                if p != part:
+                    part, covered = p, {}
+                if o:
+                    out.append(covered.get((key, _tag(run))))
+                    continue
+                for k, r in [(key, run), *np.frombuffer(more or b"", ITEM).tolist()]:
+                    if k != one or r & 1:
+                        covered.setdefault((k, _tag(r >> 49)), set()).add(r)
+            if out:
+                cols = batch["row"].filter(pa.array(order == 1)).flatten()
+                done = [(None, 0) if t is None else remove_runs(t, c) for t, c in zip(cols[slot].to_pylist(), out)]
+                cols[slot] = pa.array([d[0] for d in done], pa.string())
+                yield pa.record_batch([*cols, pa.array([d[1] for d in done], pa.int64())], names=[*names, "n_removed"])
 
     fields = [f if f.name != text_col else StructField(f.name, StringType()) for f in docs.schema.fields]
-    return joined.mapInArrow(clean, StructType([*fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())]))
+    return both.mapInArrow(clean, StructType([*fields, StructField("n_removed", LongType())]))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
