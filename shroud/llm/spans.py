@@ -1,14 +1,19 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is cut into sentences at line feeds and after ``.``, ``!`` and ``?``; a sentence of more than 16 words is cut into pieces of
-16. Every run of consecutive sentences that has at least three sentences and 15 words, and no more than it needs for
-that, seen from its first or from its last sentence, is hashed to 128 bits. Equal runs meet in one grouping over the whole
-corpus, which keeps the smallest id; a join marks the runs of all other documents, and those that stand a second time
-in their own text, and the sentences that they cover are removed. Text between the removed sentences stays as it was, byte for byte.
+A text is cut into sentences at line feeds and after ``.``, ``!`` and ``?``; a sentence of more than 16 words is cut again after
+the word of least hash in each window of nine words, so that its pieces follow from the words around them and not from where the
+sentence began. Every run of consecutive sentences that has at least two sentences and 15 words, and no more than it needs for
+that, seen from its first or from its last sentence, is hashed to 128 bits. Equal runs of the whole corpus meet in one sort,
+which tells the smallest id; the runs of all documents with a larger one, and those that stand a second time
+in their own text, are marked, and the sentences that they cover are removed. Text between the removed sentences stays as it was, byte for byte.
 
-Documents are dealt into parts by their identifier. Equal runs of one part travel as one row with all their places, so a run
-that very many documents share is a row for each part, not for each document; the join may be split by Spark all the same.
-The rows go back to their part, where they meet its documents. Hashes of all runs are written once to the shared checkpoint folder.
+A passage of more than 50 words that stands in two texts with the same line feeds loses at most 17 words at either end to sentences
+that go on beyond it (16 of a sentence left whole; in a longer one the cuts agree from the ninth word on, and the next follows within
+nine). The 17 words or more between are at least two sentences or pieces, so they hold a run and are removed, wherever the passage begins.
+
+Documents are dealt into parts by their identifier and text. Equal runs of one part travel as one row with the least and the largest id,
+so a run that very many documents share is a row for each part (or a few, where the part's runs are many), not for each document. The marked
+runs go back to their part, where they meet its documents, whose runs are hashed again; so no places are kept or moved.
 
 Defined results: null text stays null, empty stays empty; a text whose sentences are all covered becomes empty; a repeated
 row (same id and text) counts once, and each copy gets the same result; rows with equal ids and different texts count as
@@ -18,7 +23,9 @@ one place and do not repeat one another; a null id comes first; an empty table g
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, partitions, release, remove_dir, scratch_dir
+from .common import cut, partitions, release
 
-SENTENCES, WORDS, PIECE = 3, 15, 16
+SENTENCES, WORDS, PIECE, WINDOW = 2, 15, 16, 9
 NO_ID = -(2**63)
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
@@ -46,6 +53,18 @@ def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return _tables
 
 
+def cuts(words: list[str]) -> list[int]:
+    """After how many words a long sentence is cut: behind the least hash (the last of equal ones) of each window, and at its end."""
+    n = len(words)
+    order = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), "int64", n) << 31 | np.arange(n, 0, -1)
+    least, width = order, 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    at = np.unique(n - (least & 0x7FFFFFFF)) + 1
+    return at.tolist() if at[-1] == n else [*at.tolist(), n]
+
+
 def sentences(text: str) -> tuple[list[int], list[int], list[str]]:
     """Where each sentence ends (with the white space after it), its number of words, and its words joined by spaces."""
     ends, sizes, texts, at = [], [], [], 0
@@ -61,11 +80,12 @@ def sentences(text: str) -> tuple[list[int], list[int], list[str]]:
             else:
                 ends[-1] = stop
         else:
-            pieces = [m.end() for m in _WORD.finditer(text, at, stop)]
-            for i in range(0, len(pieces), PIECE):
-                ends.append(stop if i + PIECE >= len(pieces) else pieces[i + PIECE - 1])
-                sizes.append(len(words[i : i + PIECE]))
-                texts.append(" ".join(words[i : i + PIECE]))
+            pieces, lo = [m.end() for m in _WORD.finditer(text, at, stop)], 0
+            for hi in cuts(words):
+                ends.append(stop if hi == len(words) else pieces[hi - 1])
+                sizes.append(hi - lo)
+                texts.append(" ".join(words[lo:hi]))
+                lo = hi
         at = stop
     return ends, sizes, texts
 
@@ -95,45 +115,36 @@ def run_hashes(texts: list[str], first: np.ndarray, last: np.ndarray) -> tuple[n
     return out[0], out[1]
 
 
-ITEM = np.dtype([("key", "<i8"), ("run", "<i8")])
-TAG = 14  # bits of the text's hash that stand above a run's place, to tell rows with equal ids apart
-SPANS = "h1 long, h2 long, p int, n int, key long, run long, more binary"
-_SPANS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("run", pa.int64()), ("more", pa.binary())])
+SPANS = "h1 long, h2 long, p int, low long, high long"
+_SPANS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("p", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+MARKS = "p int, h1 long, h2 long, one long"
+_MARKS = pa.schema([("p", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("one", pa.int64())])
 
 
-def _tag(th: int) -> int:
-    return th & ((1 << TAG) - 1)
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Where rows with equal keys begin, in sorted rows."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
 
 
 def _combined(parts: list[tuple]) -> pa.RecordBatch:
-    """Runs that are equal and of one part, brought together: one row with the first place, and all others in ``more``."""
-    h1, h2, p = (np.concatenate([x[i] for x in parts]) for i in range(3))
-    items = np.concatenate([x[3] for x in parts])
-    order = np.lexsort((items["run"], items["key"], p, h2, h1))
-    h1, h2, p, items = h1[order], h2[order], p[order], items[order]
-    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (p[1:] != p[:-1])])
-    at = np.flatnonzero(new)
-    n = np.diff(np.concatenate([at, [len(h1)]]))
-    offsets = np.concatenate([[0], np.cumsum(n - 1)]) * ITEM.itemsize
-    raw = items[~new].tobytes()
-    more = pa.BinaryArray.from_buffers(pa.binary(), len(at), [pa.array(n > 1).buffers()[1], pa.py_buffer(offsets.astype("int32")), pa.py_buffer(raw)])
-    return pa.record_batch([pa.array(h1[at]), pa.array(h2[at]), pa.array(p[at]), pa.array(n.astype("int32")), pa.array(items["key"][at].copy()), pa.array(items["run"][at].copy()), more], schema=_SPANS)
+    """Runs that are equal and of one part, brought together: one row with the least and the largest id."""
+    h1, h2, p, key = (np.concatenate([x[i] for x in parts]) for i in range(4))
+    order = np.lexsort((p, h2, h1))
+    h1, h2, p, key = h1[order], h2[order], p[order], key[order]
+    at = _groups(h1, h2, p)
+    return pa.record_batch([pa.array(x) for x in (h1[at], h2[at], p[at], np.minimum.reduceat(key, at), np.maximum.reduceat(key, at))], schema=_SPANS)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, rows = [], 0
     for batch in batches:
-        for p, key, th, text in zip(*(batch[c].to_pylist() for c in ("p", "key", "th", "text"))):
-            ends, sizes, texts = sentences(text or "")
+        for p, key, text in zip(*(batch[c].to_pylist() for c in ("p", "key", "text"))):
+            _, sizes, texts = sentences(text or "")
             first, last = runs(sizes)
             if len(first):
-                h1, h2 = run_hashes(texts, first, last)
-                again = np.ones(len(first), "int64")  # the same run stands earlier in this text
-                again[np.unique(h1 ^ (h2 * np.int64(3)), return_index=True)[1]] = 0
-                items = np.empty(len(first), ITEM)
-                items["key"] = key
-                items["run"] = _tag(th) << 49 | first << 25 | (last - first) << 1 | again
-                parts.append((h1, h2, np.full(len(first), p, "int32"), items))
+                parts.append((*run_hashes(texts, first, last), np.full(len(first), p, "int32"), np.full(len(first), key)))
                 rows += len(first)
             if rows > 500_000:  # bounds the memory; equal runs in two rows do no harm
                 yield _combined(parts)
@@ -142,11 +153,55 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _combined(parts)
 
 
-def remove_runs(text: str, covered: list[int]) -> tuple[str, int]:
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by run: the parts where a text with a larger id than the run's least one holds it, and that least one."""
+    held = None  # the rows of the latest run, which may go on in the next batch
+    for batch in chain(batches, [None]):
+        rows = held or [np.zeros(0, f.type.to_pandas_dtype()) for f in _SPANS]
+        if batch is not None:
+            rows = [np.concatenate([x, batch[f.name].to_numpy()]) for x, f in zip(rows, _SPANS)]
+        if not len(rows[0]):
+            continue
+        at = _groups(*rows[:2])
+        done = len(rows[0]) if batch is None else at[-1]
+        held = [x[done:] for x in rows]
+        h1, h2, p, low, high = (x[:done] for x in rows)
+        if done:
+            at = at[at < done]
+            one = np.repeat(np.minimum.reduceat(low, at), np.diff([*at, done]))
+            later = high > one
+            yield pa.record_batch([pa.array(x[later]) for x in (p, h1, h2, one)], schema=_MARKS)
+
+
+def _marked(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The marks of a part, sorted by run."""
+    h1, h2, one = (np.concatenate([x[i] for x in held] or [np.zeros(0, "int64")]) for i in range(3))
+    order = np.lexsort((h2, h1))
+    return h1[order], h2[order], one[order]
+
+
+def _clean(text: str | None, key: int, marked: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[str | None, int]:
+    """The text without its runs that stand in a text of a smaller id, or earlier in itself."""
+    if text is None:
+        return None, 0
+    ends, sizes, texts = sentences(text)
+    first, last = runs(sizes)
+    if not len(first):
+        return text, 0
+    h1, h2 = run_hashes(texts, first, last)
+    gone = np.ones(len(first), bool)
+    gone[np.unique(h1 ^ (h2 * np.int64(3)), return_index=True)[1]] = False
+    if len(marked[0]):
+        i = np.minimum(np.searchsorted(marked[0], h1), len(marked[0]) - 1)
+        gone |= (marked[0][i] == h1) & (marked[1][i] == h2) & (marked[2][i] < key)
+    return remove_runs(text, (first[gone] << 25 | (last[gone] - first[gone]) << 1).tolist(), ends)
+
+
+def remove_runs(text: str, covered: list[int], ends: list[int] | None = None) -> tuple[str, int]:
     """The text without the sentences that the runs cover, and the number of removed ones."""
     if not covered:
         return text, 0
-    ends, _, _ = sentences(text)
+    ends = ends or sentences(text)[0]
     gone = np.zeros(len(ends) + 1, "int64")
     for run in covered:
         first = run >> 25 & 0xFFFFFF
@@ -162,47 +217,38 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = docs.drop("n_removed")
     n = partitions(spark)
-    key, th = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.col(text_col).cast("string"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    rows = docs.select(F.pmod(F.xxhash64(key, th), F.lit(n)).cast("int").alias("p"), key.alias("key"), th.alias("th"), F.col(text_col).alias("text"), packed.alias("row"))
-    folder = scratch_dir(spark)
-    rows.select("p", "key", "th", "text").repartition(n, "p").mapInArrow(_spans, SPANS).write.parquet(folder)
-    release(spark)
-    spans = spark.read.parquet(folder)
-    # Written, so that the join of a hot run can be split.
-    seen = cut(spans.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("key").alias("one")).where("n > 1").select("h1", "h2", "one"))
-    release(spark)
-    places = spans.select("h1", "h2", "p", F.col("key").alias("at"), "run", "more")
-    # A first place alone in its part needs no mark.
-    marks = cut(places.join(seen, ["h1", "h2"]).where("more is not null or at <> one or run % 2 = 1").select("p", "one", "at", "run", "more"))
-    del spans, places, seen
-    remove_dir(spark, folder)
+    rows = docs.select(F.pmod(F.xxhash64(key, F.xxhash64(F.col(text_col).cast("string"))), F.lit(n)).cast("int").alias("p"), key.alias("key"), F.col(text_col).alias("text"), packed.alias("row"))
+    spans = rows.select("p", "key", "text").repartition(n, "p").mapInArrow(_spans, SPANS)
+    # A run has a row for each part at most, or a few, so that no task gets one run's places.
+    marks = cut(spans.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_repeated, MARKS))
+    del spans
     release(spark)
     # The marks of a part, then its documents.
     none = F.lit(None).cast(rows.schema["row"].dataType)
-    both = marks.select("p", F.lit(0).alias("order"), "one", F.col("at").alias("key"), "run", "more", none.alias("row"))
-    both = both.unionByName(rows.select("p", F.lit(1).alias("order"), F.lit(None).cast("long").alias("one"), "key", F.col("th").alias("run"), F.lit(None).cast("binary").alias("more"), "row"))
+    both = marks.select("p", F.lit(0).alias("order"), "h1", "h2", "one", none.alias("row"))
+    both = both.unionByName(rows.select("p", F.lit(1).alias("order"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.col("key").alias("one"), "row"))
     both = both.repartition(n, "p").sortWithinPartitions("p", "order")
     names = docs.columns
     slot = names.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, covered = None, {}
+        part, held, marked = None, [], None
         for batch in batches:
-            order = batch["order"].to_numpy()
-            out = []
-            for p, o, one, key, run, more in zip(*(batch[c].to_pylist() for c in ("p", "order", "one", "key", "run", "more"))):
-                if p != part:
-                    part, covered = p, {}
-                if o:
-                    out.append(covered.get((key, _tag(run))))
+            ps, order, h1, h2, key = (batch[c].to_numpy() for c in ("p", "order", "h1", "h2", "one"))
+            cols = batch["row"].filter(pa.array(order == 1)).flatten()
+            texts, done = iter(cols[slot].cast(pa.string()).to_pylist()), []
+            starts = _groups(ps, order).tolist()
+            for lo, hi in zip(starts, [*starts[1:], len(ps)]):
+                if ps[lo] != part:
+                    part, held, marked = ps[lo], [], None
+                if order[lo] == 0:
+                    held.append((h1[lo:hi], h2[lo:hi], key[lo:hi]))
                     continue
-                for k, r in [(key, run), *np.frombuffer(more or b"", ITEM).tolist()]:
-                    if k != one or r & 1:
-                        covered.setdefault((k, _tag(r >> 49)), set()).add(r)
-            if out:
-                cols = batch["row"].filter(pa.array(order == 1)).flatten()
-                done = [(None, 0) if t is None else remove_runs(t, c) for t, c in zip(cols[slot].to_pylist(), out)]
+                marked = marked or _marked(held)
+                done += [_clean(next(texts), k, marked) for k in key[lo:hi].tolist()]
+            if done:
                 cols[slot] = pa.array([d[0] for d in done], pa.string())
                 yield pa.record_batch([*cols, pa.array([d[1] for d in done], pa.int64())], names=[*names, "n_removed"])
 

@@ -1,6 +1,7 @@
 """Exact copies, repeated passages and near copies against brute force."""
 
 import hashlib
+import random
 import re
 
 from shroud.llm import spans
@@ -78,6 +79,36 @@ def test_runs_cover_every_repeated_passage_of_fifty_words():
         assert covered == set(range(len(sizes)))
 
 
+def test_unaligned_passages_against_brute_force_over_windows(spark):
+    """Repeated passages of more than 50 words are touched wherever they begin and end, in long sentences and in short ones."""
+    rng, size = random.Random(11), 51
+
+    def said(n, most):
+        out = []
+        while len(out) < n:
+            out += [f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(rng.randint(1, most))]
+            out[-1] += "."
+        return out[:n]
+
+    docs = {0: " ".join(said(70, 90))}
+    for i in range(1, 160):
+        words = said(rng.randint(60, 160), most := rng.choice((5, 16, 20, 60, 200)))
+        source = docs[rng.randrange(i)].split()
+        at, n = rng.randrange(len(source) - size + 1), rng.randint(size, size + 8)
+        cut = rng.randrange(len(words))
+        docs[i] = " ".join([*words[:cut], *source[at : at + n], *said(rng.randint(1, 40), most)])
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)).collect()}
+    assert {i: (r.text, r.n_removed) for i, r in got.items()} == brute_spans(docs)
+    seen, untouched, repeated = set(), [], 0
+    for i, text in docs.items():
+        words, kept = text.split(), f" {' '.join(got[i].text.split())} "
+        windows = [" ".join(words[k : k + size]) for k in range(len(words) - size + 1)]
+        repeated += sum(w in seen for w in windows)
+        untouched += [(i, k) for k, w in enumerate(windows) if w in seen and f" {w} " in kept]
+        seen.update(windows)
+    assert repeated > 159 and not untouched
+
+
 def test_substring_dedup_odd_tables(empty, repeated, docs):
     assert substring_dedup(empty).count() == 0
     once = {(r.doc_id, r.text) for r in substring_dedup(docs).select("doc_id", "text").collect()}
