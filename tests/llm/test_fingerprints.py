@@ -1,3 +1,4 @@
+import difflib
 import hashlib
 import os
 
@@ -34,6 +35,24 @@ def test_likeness():
     assert likeness(fingerprint(Prefix("")), f) == 0 and likeness(fingerprint(Prefix("")), fingerprint(Prefix(""))) == 1
 
 
+def test_likeness_of_near_copies_with_scattered_edits():
+    """Against the blocks that a full comparison finds: each edit costs a few spans, never what lies between two edits."""
+    rng = np.random.default_rng(3)
+    said = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 10))) for _ in range(n)]
+    for edits in (2, 3, 5, 8):
+        words = said(700)
+        text = " ".join(words)
+        for place in np.linspace(10, 680, edits).astype(int).tolist():
+            words[place] = ("", "other", words[place] + " and more")[int(rng.integers(3))]
+        edited = " ".join(words)
+        f, g = fingerprint(Prefix(text)), fingerprint(Prefix(edited))
+        longest = max(len(text), len(edited))
+        equal = sum(b.size for b in difflib.SequenceMatcher(None, text, edited, False).get_matching_blocks()) / longest
+        assert equal - 250 * edits / longest <= likeness(f, g) <= equal + 0.01
+        assert likeness(f, g) == likeness(g, f)
+    assert likeness(f, fingerprint(Prefix(" ".join(said(700))))) < 0.05
+
+
 def test_documents(docs, texts, empty, repeated):
     got = {r.doc_id: r for r in fingerprint_documents(docs).collect()}
     order = sorted(texts, reverse=True)
