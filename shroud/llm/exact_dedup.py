@@ -107,14 +107,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows repeated as a whole, one."""
+    """The rows of ``docs`` that stay, with all their columns; of rows with one id (or none) whose normalised texts are equal, one."""
     out = exact_dedup(docs)
     kept = cut(out.where("kept").select("doc_id", "text_sha256"))
     same_id = docs["doc_id"].eqNullSafe(kept["doc_id"])
     if kept.groupBy("doc_id").count().where("count > 1").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs.join(kept, same_id, "left_semi")
     sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE, " ").cast("binary"), 256)
-    return docs.join(kept, same_id & (sha == kept["text_sha256"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    name = "_sha"
+    while name in docs.columns:
+        name += "_"
+    # The sha is a column before the join, so that both know it: equal ids may differ in white space only.
+    marked = docs.withColumn(name, sha)
+    same = marked["doc_id"].eqNullSafe(kept["doc_id"]) & (marked[name] == kept["text_sha256"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
 
 
 ORACLE = """

@@ -48,6 +48,13 @@ def test_exact_dedup_odd_tables(empty, repeated, texts):
     assert set(drop_copies(empty).columns) == set(empty.columns)
 
 
+def test_drop_copies_of_equal_ids_that_differ_in_white_space(spark):
+    rows = [(5, "a b"), (5, "a  b"), (5, "a\tb"), (5, "other"), (6, "a b"), (None, "x y"), (None, "x\n y"), (None, None), (None, ""), (7, "c")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = [(r.doc_id, normal(r.text), r.source) for r in drop_copies(df).collect()]
+    assert sorted(got, key=repr) == sorted([(5, "a b", "s"), (5, "other", "s"), (None, "x y", "s"), (None, "", "s"), (7, "c", "s")], key=repr)
+
+
 def brute_spans(texts):
     """Runs in order of id and place; every run seen before covers its sentences."""
     seen, out = set(), {}
