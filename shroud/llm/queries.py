@@ -14,7 +14,7 @@ from .packing import pack
 from .quality import classify
 from .spans import substring_dedup
 from .suffix_pieces import encode_digests
-from .url_templates import judge_urls
+from .url_templates import DEPTH, judge_urls
 from .url_templates import oracle as url_sql
 
 
@@ -65,7 +65,7 @@ def op9_jaccard_join(spark, sf_dir):
 
 
 def op10_url_templates(spark, sf_dir):
-    return judge_urls(read(spark, sf_dir, "pages"))
+    return judge_urls(read(spark, sf_dir, "pages"), depth=DEPTH)  # as its SQL does
 
 
 QUERIES = {f.__name__: f for f in (op1_sentence_spans, op2_suffix_array_pieces, op3_additive_quality, op4_crf_language, op5_prefix_fingerprints, op6_exact_dedup, op7_packing, op8_arrow_store, op9_jaccard_join, op10_url_templates)}

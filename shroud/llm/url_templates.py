@@ -2,9 +2,10 @@
 
 Per host, the segments of all paths form a tree. Level by level, a child keeps its segment where it is frequent
 below its parent or where its labelled share of blocked pages differs significantly from that of its siblings
-together; all other children, statistically alike, merge into the wildcard ``*``. What lies below the deepest level
-becomes ``**``. A template is rejected if its labelled purity, smoothed towards one half, reaches a limit. Labels
-come from the rules: pages that a rule decides are the labelled ones, and keep the rule's verdict.
+together; all other children, statistically alike, merge into the wildcard ``*``. Levels are built until no path has a further
+segment; only where ``depth`` is given, what lies below that level becomes ``**``. A template is rejected if its labelled
+purity, smoothed towards one half, reaches a limit. Labels come from the rules: pages that a rule decides are the labelled
+ones, and keep the rule's verdict.
 
 Rows are first aggregated to distinct (host, path), so a hot URL counts once; all joins are on tables that were
 written before, so that Spark can split a hot host's partition.
@@ -16,6 +17,7 @@ get a result; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from .common import cut, lower_ascii
 
 #: (verdict, host, path) of the contract.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-DEPTH = 4  # levels of the tree; deeper segments fold into one
+DEPTH = 4  # levels of the tree in the query and its SQL; deeper segments fold into one there
 SHARE = 20  # a child with at least 1/20 of its parent's pages keeps its segment
 Z2 = 9.0  # squared deviations from the siblings' pooled share that still count as alike
 REJECT = (3, 5)  # reject at a smoothed purity of 3/5 or more
@@ -51,7 +53,7 @@ def match_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, depth: int | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, template, template_pages, template_labelled, template_blocked."""
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -61,11 +63,14 @@ def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH, id_col: str =
     sums = [F.sum(c).alias(c) for c in ("n", "lab", "blk")]
     tree = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("said").alias("lab"), F.count(F.when(F.col("said") == "block", 1)).alias("blk"))
     segs = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    segs = F.when(F.size(segs) > depth, F.concat(F.slice(segs, 1, depth), F.array(F.lit("**")))).otherwise(segs)
+    if depth is not None:
+        segs = F.when(F.size(segs) > depth, F.concat(F.slice(segs, 1, depth), F.array(F.lit("**")))).otherwise(segs)
     tree = cut(tree.withColumns({"segs": segs, "prefix": F.lit("")}))
-    for d in range(depth):
+    for d in count() if depth is None else range(depth):
         seg = F.when(F.size("segs") > d, F.get("segs", F.lit(d)))
         child = cut(tree.withColumn("seg", seg).where("seg is not null").groupBy("host", "prefix", "seg").agg(*sums))
+        if depth is None and child.isEmpty():
+            break
         parent = cut(child.groupBy("host", "prefix").agg(F.sum("n").alias("n_all"), F.sum("lab").alias("lab_all"), F.sum("blk").alias("blk_all")))
         n, lab, blk, n_all, lab_all, blk_all = (F.col(c).cast("double") for c in ("n", "lab", "blk", "n_all", "lab_all", "blk_all"))
         gap = F.abs(blk * lab_all - lab * blk_all) - lab_all  # one label's worth of leeway
@@ -73,7 +78,7 @@ def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH, id_col: str =
         kept = cut(child.join(parent, ["host", "prefix"]).where((n * SHARE >= n_all) | unlike).select("host", "prefix", "seg", F.col("seg").alias("keeps")))
         named = F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.coalesce("keeps", F.lit("*"))))
         tree = cut(tree.withColumn("seg", seg).join(kept, ["host", "prefix", "seg"], "left").select("host", "path", "segs", "n", "lab", "blk", named.alias("prefix")))
-    tail = F.when(F.size("segs") > depth, F.lit("/**")).otherwise(F.lit(""))
+    tail = F.lit("") if depth is None else F.when(F.size("segs") > depth, F.lit("/**")).otherwise(F.lit(""))
     tree = tree.select("host", "path", "n", "lab", "blk", F.concat("prefix", tail).alias("template"))
     marks = cut(tree.groupBy("host", "template").agg(*sums).toDF("host", "template", "template_pages", "template_labelled", "template_blocked"))
     tree = cut(tree.select("host", "path", "template").join(marks, ["host", "template"]))

@@ -34,6 +34,13 @@ def test_templates_learn_from_labelled_pages(spark):
     assert by["/blog/*/*"].template_pages == 200 and by["/blog/*/*"].template_blocked == 0
 
 
+def test_branches_below_the_fourth_level_have_their_own_templates(spark):
+    rules = (("block", "h.x", "/a/b/c/d/e/bad/1"), ("allow", "h.x", "/a/b/c/d/e/good/1"))
+    urls = [f"http://h.x/a/b/c/d/e/{w}/{i}" for w in ("bad", "good") for i in range(100, 300)]
+    got = judge_urls(rows_of(spark, urls), rules).where("rule is null").groupBy("template", "verdict").count().collect()
+    assert {(r.template, r.verdict, r["count"]) for r in got} == {("/a/b/c/d/e/bad/*", "block", 100), ("/a/b/c/d/e/good/*", "allow", 100)}
+
+
 def test_odd_tables(spark):
     df = rows_of(spark, ["http://a.b/c"] * 50 + [None] * 3)
     assert judge_urls(df.where("false")).count() == 0
