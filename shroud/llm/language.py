@@ -8,7 +8,8 @@ document's language is the one with the largest mean over its words.
 Long texts are cut into chunks for speed alone: the transfer matrices of all chunks are multiplied up in step, the
 messages between chunks follow in a scan, and the result is that of one pass over the whole text.
 
-The field is fitted on the driver on a bounded sample: up to ``SAMPLE`` documents by the hash of their id, from each up to
+The field is fitted on the driver on a bounded sample: up to ``SAMPLE`` documents by the hash of their id, and of each language
+that has fewer than ``LEAST`` among these up to ``LEAST`` of its own, so that a rare language is learned at every size; from each up to
 ``SEGMENTS`` runs of ``RUN`` words spread over the text. Some training sequences join runs of two languages, from which the
 transitions learn that texts switch. All documents are labelled, whole.
 
@@ -24,12 +25,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import cut, held_out, slices
 
-SAMPLE, SEGMENTS, RUN = 4000, 3, 16
+SAMPLE, LEAST, SEGMENTS, RUN = 4000, 500, 3, 16
 DIM = 1 << 17  # rows of hashed weights; the last are the lexicon's
 LEXICON = 4096  # words that the lexicon holds at most
 EPOCHS, BATCH, RATE, DECAY = 4, 256, 0.1, 1e-4
@@ -288,7 +289,11 @@ def _pair_marginals(e: np.ndarray, stops: np.ndarray, moves: np.ndarray) -> np.n
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    order, least = [F.xxhash64("doc_id"), F.col("doc_id")], min(LEAST, sample)
+    first = cut(rows.select("doc_id", "lang").orderBy(*order).limit(sample))
+    enough = [r.lang for r in first.groupBy("lang").count().where(F.col("count") >= least).collect()]
+    rare = rows.select("doc_id", "lang").where(~F.col("lang").isin(enough)).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    chosen = first.select(F.col("doc_id").alias("chosen")).union(rare.where(F.col("r") <= least).select(F.col("doc_id").alias("chosen"))).distinct()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,8 +306,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
                     out.append(words[at : at + RUN])
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
 
-    got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text").mapInArrow(runs, "lang string, words array<string>")
-    got = got.orderBy(F.xxhash64("words", "lang"), "lang").limit(SEGMENTS * sample).toArrow()
+    got = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"), "left_semi").select("lang", "text").mapInArrow(runs, "lang string, words array<string>")
+    # Binds only where ids repeat.
+    got = got.withColumn("h", F.xxhash64("words", "lang")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    got = got.where(F.col("r") <= SEGMENTS * sample).orderBy("h", "lang").select("lang", "words").toArrow()
     return fit(got["words"].to_pylist(), got["lang"].to_pylist())
 
 

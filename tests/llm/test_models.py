@@ -113,6 +113,15 @@ def test_held_out_language(spark):
     assert sum(r.lang_pred == r.lang for r in rows) / len(rows) >= 0.95
 
 
+def test_a_rare_language_is_learned_beside_frequent_ones(spark):
+    rng = np.random.default_rng(4)
+    words = {"aa": "anna abba alla arra", "bb": "bobo bubu bibi bebe", "cc": "xyxy zyzz xzyx zzxy"}
+    rows = [(i, lang, " ".join(rng.choice(words[lang].split(), 30))) for i in range(1200) for lang in ["cc" if i % 100 == 7 else "ab"[i % 2] * 2]]
+    got = identify(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 20).collect()
+    said = {i: lang for i, lang, _ in rows}
+    assert [r.doc_id for r in got if r.lang_pred != said[r.doc_id]] == []
+
+
 def test_language_odd_tables(docs, empty, repeated, texts):
     got = {r.doc_id: r for r in identify(docs).collect()}
     for i in (4, 5, 6, 19):
