@@ -231,8 +231,8 @@ def components(links: DataFrame) -> DataFrame:
         label = step.select("v", F.col("d").alias("c"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """Rows, classes of equal sets, links between them, and the folder to remove. Not ``every`` link: those that components need."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     first = cut(texts.mapInArrow(_first_pass, "doc_id long, n long, k1 long, k2 long, token long, times long"))
@@ -273,10 +273,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = cut(_plausible(star, heads))
     links = _verify(star, texts, order)
     release(spark)
-    joined = components(links)
 
-    # Step 5: members of different components in one group.
-    table = table.drop("pivot").join(joined.select(F.col("v").alias("rep"), "c"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("c", "rep").alias("c"))
+    # Step 5: members of different components in one group; for every link each member counts as a component.
+    table = table.drop("pivot")
+    if every:
+        table = table.select("token", "rep", "n", "pos", F.col("rep").alias("c"))
+    else:
+        table = table.join(components(links).select(F.col("v").alias("rep"), "c"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("c", "rep").alias("c"))
     mixed = table.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     table.join(mixed, "token", "left_semi").write.parquet(f"{folder}/mixed")
     table = spark.read.parquet(f"{folder}/mixed")
@@ -291,8 +294,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = cut(_plausible(more, heads).join(star, ["a", "b"], "left_anti"))
     del table, other, star, heads
     release(spark)
-    more = _verify(more, texts, order)
-    joined = components(links.unionByName(more))
+    return rows, classes, links.unionByName(_verify(more, texts, order)), folder
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join. Every row's doc_id and rep, the smallest id with an equal set; and a, b (a < b), the pairs of reps that are alike.
+
+    Rows with one rep are alike as well; a row without shingles is alike to none and its own rep.
+    """
+    rows, classes, links, folder = _linked(docs, id_col, text_col, True)
+    members = rows.join(classes, ["k1", "k2", "n"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.nullif(F.coalesce("rep", "doc_id"), F.lit(NO_ID)).alias("rep"))
+    members, links = cut(members), cut(links.select(F.nullif("a", F.lit(NO_ID)).alias("a"), F.nullif("b", F.lit(NO_ID)).alias("b")))
+    remove_dir(docs.sparkSession, folder)
+    return members, links
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    spark = docs.sparkSession
+    rows, classes, links, folder = _linked(docs, id_col, text_col, False)
+    joined = components(links)
 
     known = cut(classes.join(joined, classes["rep"] == joined["v"], "left").select("k1", "k2", "n", F.coalesce("c", "rep").alias("c")))
     out = rows.join(known, ["k1", "k2", "n"], "left").select(

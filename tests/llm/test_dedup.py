@@ -6,7 +6,7 @@ import re
 
 from shroud.llm import spans
 from shroud.llm.exact_dedup import drop_copies, exact_dedup
-from shroud.llm.jaccard_join import jaccard_components, keep_first, least_overlap, prefix_length, tree_join
+from shroud.llm.jaccard_join import jaccard_components, jaccard_links, keep_first, least_overlap, prefix_length, tree_join
 from shroud.llm.spans import remove_repeats, substring_dedup
 
 
@@ -166,6 +166,20 @@ def test_jaccard_chains_and_frequent_passages(spark):
     assert got == brute_components(texts)
 
 
+def test_jaccard_links_are_all_pairs(spark, docs, texts, empty):
+    words = [f"w{i}" for i in range(120)]
+    near = {i: " ".join([*words[: 90 + i % 7], f"e{i}"]) for i in range(30)} | {40: " ".join([*words[:90], "e0"])}
+    for said, df in ((texts, docs), (near, spark.createDataFrame(list(near.items()), "doc_id long, text string").repartition(3))):
+        sets = {i: frozenset(shingles(t)) for i, t in said.items()}
+        rep = {i: min(j for j in sets if sets[j] == s) if s else i for i, s in sets.items()}
+        reps = sorted(i for i in set(rep.values()) if sets[i])
+        want = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+        members, links = jaccard_links(df)
+        assert {r.doc_id: r.rep for r in members.collect()} == rep
+        assert sorted((r.a, r.b) for r in links.collect()) == sorted(want)
+    assert [x.count() for x in jaccard_links(empty)] == [0, 0]
+
+
 def test_jaccard_odd_tables(empty, repeated, texts):
     assert jaccard_components(empty).count() == 0
     want = brute_components(texts)
