@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -680,6 +681,16 @@ def profile_documents(spark, sf_dir):
 
 @query()
 def status_files(spark, sf_dir):
+    """The status of a project with one file only guarded and one decided, of the first customers."""
     from .engine import Engine
 
-    return Engine(spark, tempfile.mkdtemp(prefix="shroud-project-")).status()
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").removeprefix("file:")
+    root = Path(tempfile.mkdtemp(prefix="shroud-project-", dir=base if base.startswith("/") and Path(base).is_dir() else None))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", (F.col("c_custkey") % 90).alias("age")).orderBy("c_custkey").limit(20).collect()
+    made = "customer_id,customer_name,age\n" + "".join(f"{r[0]},{r[1]},{r[2]}\n" for r in rows)
+    engine = Engine(spark, root)
+    for name in ("pending.csv", "decided.csv"):
+        (root / name).write_text(made)
+        engine.guard(name)
+    engine.apply("decided.csv", [{"column": "age", "action": "generalize"}])
+    return engine.status()

@@ -42,6 +42,11 @@ def test_query_without_sql_runs(spark, name):
     assert own.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_status_of_guarded_and_decided_files(spark):
+    got = {r.file: (r.status, len(r.outputs) > 0) for r in own.status_files(spark, SF).collect()}
+    assert got == {"pending.csv": ("pending", False), "decided.csv": ("decided", True)}
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
