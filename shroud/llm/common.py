@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return named or held.get()
+    if not named and not (spark.sparkContext.master or "").partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = named or tempfile.mkdtemp(prefix="shroud-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -56,11 +59,39 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A new folder below the shared folder, which goes in the end, whatever happens."""
+    folder = scratch_dir(spark)
+    try:
+        yield folder
+    finally:
+        remove_dir(spark, folder)
+
+
 def remove_dir(spark: SparkSession, uri: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of our own that clash with none of the table's."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
