@@ -9,7 +9,8 @@ Features come from the whole text alone. The model is fitted on the driver on a
 
 Defined results: null and empty texts are scored like any other (their features are zeros); rows whose labels contradict
 one another and null labels are not learned from; with one class or no label in the sample the score is that class (1 or 0),
-or one half; repeated rows each get a result; an empty table gives an empty result; other columns are ignored.
+or one half; repeated rows each get a result; texts of any length go through
+in bounded chunks of bytes (words are held whole); an empty table gives an empty result; other columns are ignored, or passed through by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, slices
+from .common import held_out, quoted, slices
 
 SAMPLE = 20_000  # labelled rows that the fit uses at most
 BINS, PAIR_BINS = 32, 8
@@ -56,14 +58,17 @@ def features(texts: pa.Array) -> np.ndarray:
     raw = np.frombuffer(texts.buffers()[2] or b"", "uint8")[at[0] : at[-1]]
     at = at - at[0]
     sizes = np.diff(at)
-    doc = np.repeat(np.arange(n), sizes)
-    kind = _CLASS[raw]
-    high = raw >= 128
-    # The capitals among U+00C0 to U+00DE: lead byte 0xC3, then 0x80 to 0x9E.
-    kind[1:][(raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)] = 2
-    count = np.bincount(doc * 11 + kind, minlength=11 * n).reshape(n, 11).astype("float64")
-    wide = np.bincount(doc[high], minlength=n)
-    del doc, kind, high
+    count, wide = np.zeros((n, 11)), np.zeros(n)
+    for lo in range(0, len(raw), CHUNK):  # a chunk of bytes at a time, however long a text is
+        part = raw[lo : lo + CHUNK]
+        first, last = np.searchsorted(at, [lo, lo + len(part) - 1], "right") - 1
+        doc = np.repeat(np.arange(first, last + 1), np.diff(np.clip(at[first : last + 2], lo, lo + len(part)))) - first
+        kind = _CLASS[part]
+        # The capitals among U+00C0 to U+00DE: lead byte 0xC3, then 0x80 to 0x9E.
+        lead = raw[lo - 1 : lo + len(part) - 1] if lo else np.concatenate([[0], part[:-1]])
+        kind[(lead == 0xC3) & (part >= 0x80) & (part <= 0x9E)] = 2
+        count[first : last + 1] += np.bincount(doc * 11 + kind, minlength=11 * (last + 1 - first)).reshape(-1, 11)
+        wide[first : last + 1] += np.bincount(doc[part >= 128], minlength=last + 1 - first)
     words = pc.ascii_split_whitespace(texts)
     coded = words.flatten().dictionary_encode()
     ends = np.asarray(words.offsets)[1:] - np.asarray(words.offsets)[0]
@@ -72,6 +77,9 @@ def features(texts: pa.Array) -> np.ndarray:
     codes = coded.indices.to_numpy(zero_copy_only=False).astype("int64")
     length = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype("int64")
     tail = pc.match_substring_regex(coded.dictionary, r"[*#$%&!|]$").to_numpy(zero_copy_only=False)
+    filled = length[codes] > 0 if len(codes) else np.zeros(0, bool)  # Arrow makes an empty word of white space at an end
+    codes, owner = codes[filled], owner[filled]
+    n_words = np.bincount(owner, minlength=n)
     size = length[codes] if len(codes) else codes
 
     def by_doc(x) -> np.ndarray:
@@ -210,7 +218,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     return Additive(base, edges, tables, [(i, j, coarse[i], coarse[j], t) for (i, j), t in zip(chosen, pair_tables)])
 
 
-SLICE = 2000  # rows whose features are made at a time
+SLICE, BYTES = 2000, 4 << 20  # rows and bytes of text whose features are made at a time
+CHUNK = 1 << 20
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Additive:
@@ -223,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", SLICE, BYTES):
                 x = features(part["text"])
                 yield pa.record_batch([part["doc_id"], part["y"], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
@@ -233,24 +242,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(x, got["y"].to_numpy().astype("float64"))
 
 
-def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score of every text, with the columns in ``keep``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)])
-    told = docs.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
+def _scored(rows: DataFrame, text_col: str, model: Additive, drop_text: bool = False) -> DataFrame:
+    """``rows`` and, last, the score of each text; without the text if that is no more needed."""
+    told = rows.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
+    fields = [f for f in rows.schema.fields if not (drop_text and f.name == text_col)]
+    names = [f.name for f in fields]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                s = told.value.score(features(part["text"]))
-                cols = [c for c in part.schema.names if keep or c != "text"]
-                yield pa.record_batch([*[part[c] for c in cols], pa.array(s)], names=[*cols, "score"])
-
-    fields = [f for f in rows.schema.fields if keep or f.name != "text"]
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            for part in slices(batch, text_col, SLICE, BYTES):
+                yield pa.record_batch([*[part[c] for c in names], pa.array(told.value.score(features(part[text_col])))], names=[*names, "score"])
 
     return rows.mapInArrow(make, StructType([*fields, StructField("score", DoubleType())]))
 
 
+def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score of every text."""
+    return _scored(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")), "text", model, True)
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     out = score(docs, train(docs, labels, sample))
@@ -258,8 +268,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
-    names = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = score(docs, train(docs, labels, sample), keep=tuple(names)).where(F.col("score") >= ACCEPT)
-    got = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"k_{i}").alias(c) for i, c in enumerate(names)}
-    return out.select(*[got[c] for c in docs.columns])
+    """The documents that the classifier accepts, with all their columns, whatever their names."""
+    names, text = docs.columns, f"c{docs.columns.index('text')}"
+    rows = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
+    out = _scored(rows, text, train(docs, labels, sample)).where(F.col("score") >= ACCEPT)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shroud.llm.language import CHUNK, fit as fit_field
@@ -42,8 +43,6 @@ def test_additive_model_finds_an_interaction():
 
 
 def test_features_of_slices_are_the_same(texts):
-    import pyarrow as pa
-
     column = pa.array(list(texts.values()))
     whole = features(column)
     parts = np.concatenate([features(column.slice(i, 7)) for i in range(0, len(column), 7)])
@@ -98,8 +97,6 @@ def test_words_of_a_mixed_text():
     rng = np.random.default_rng(8)
     runs = [list(rng.choice(a, 12)) for _ in range(150)] + [list(rng.choice(b, 12)) for _ in range(150)]
     model = fit_field(runs, ["en"] * 150 + ["de"] * 150)
-    import pyarrow as pa
-
     dist, ends = model.label(pa.array([" ".join(a * 3 + b * 3), None, "123"]))
     tags = np.array(model.langs)[dist.argmax(1)]
     assert (tags[:22] == "en").all() and (tags[26:] == "de").all()
@@ -130,3 +127,55 @@ def test_language_odd_tables(docs, empty, repeated, texts):
     assert identify(empty).count() == 0
     assert identify(repeated).count() == repeated.count()
     assert {r.lang_pred for r in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def plain_features(text):
+    """The features of a text, byte by byte and word by word."""
+    raw, words = (text or "").encode(), (text or "").split()
+    kind = [0] * 11
+    for i, x in enumerate(raw):
+        c = chr(x)
+        if i and raw[i - 1] == 0xC3 and 0x80 <= x <= 0x9E:
+            kind[2] += 1
+            continue
+        named = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "*#$%&@^~=+<>{}[]\\_/", "!", "0123456789", ",;:", ".?", "|", "\n", "\t\x0b\x0c\r ")
+        kind[next((k for k, chars in enumerate(named, 1) if c in chars), 0)] += 1
+    b, w, letters = max(len(raw), 1), max(len(words), 1), max(kind[1] + kind[2], 1)
+    sizes = [len(x.encode()) for x in words]
+    return [
+        np.log1p(len(raw)), kind[2] / letters, kind[3] / b, kind[4] / w, kind[5] / b, kind[6] / w, kind[7] / w, kind[8] / w, len(raw) / w,
+        len(set(words)) / w, max([words.count(x) for x in set(words)], default=0) / w, sum(x == y for x, y in zip(words, words[1:])) / w, sum(s <= 3 for s in sizes) / w,
+        len(words) / (kind[9] + 1), len(words) / (kind[7] + 1), sum(x >= 128 for x in raw) / b, sum(x[-1] in "*#$%&!|" for x in words) / w, sum(s > 20 for s in sizes) / w,
+    ]
+
+
+def test_features_equal_a_plain_count(texts, monkeypatch):
+    from shroud.llm import quality
+
+    said = [t for t in texts.values() if t is None or (len(t) < 5000 and not set(t) & {"\u00a0", "\u2003"})] + ["É à ÀÉ Ü.", "AB!! 12|3 * x*", "Ö" * 30]
+    want = np.array([plain_features(t) for t in said])
+    for chunk in (quality.CHUNK, 7):  # a chunk's border may part a letter's bytes
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        got = quality.features(pa.array(said, pa.string()))
+        assert np.allclose(got, want), np.argwhere(~np.isclose(got, want))
+
+
+def test_tables_score_as_sums_and_trees_split_best():
+    from shroud.llm import quality
+
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    model = quality.fit(x, y)
+    for row, s in zip(x, model.score(x)):
+        total = model.base + sum(t[sum(v >= c for c in e)] for v, e, t in zip(row, model.edges, model.tables))
+        total += sum(t[sum(row[i] >= c for c in ei), sum(row[j] >= c for c in ej)] for i, j, ei, ej, t in model.pairs)
+        assert abs(s - 1 / (1 + np.exp(-total))) < 1e-9
+    assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.95  # an exclusive or needs the pairs
+    for _ in range(30):
+        g, h = rng.normal(size=8), rng.random(8)
+        gain = lambda lo, hi: g[lo:hi].sum() ** 2 / (h[lo:hi].sum() + quality.RIDGE)
+        best = max(range(1, 8), key=lambda m: gain(0, m) + gain(m, 8))
+        table = quality._tree(g, h, 2)
+        if gain(0, best) + gain(best, 8) > gain(0, 8) + 1e-9:
+            assert np.allclose(table[:best], g[:best].sum() / (h[:best].sum() + quality.RIDGE)) and np.allclose(table[best:], g[best:].sum() / (h[best:].sum() + quality.RIDGE))
