@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, free_names, quoted
 
 NO_ID = 2**63 - 1
 RUNS = "doc_id long, pid int, run long, head boolean, run_min long, run_len long, text_sha256 string, edge_text string"
@@ -86,8 +86,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of ``docs``."""
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), norm.alias("norm"))
+    norm = F.regexp_replace(F.coalesce(F.col(quoted(text_col)), F.lit("")), SPACE, " ")
+    rows = docs.select(F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(NO_ID)).alias("doc_id"), norm.alias("norm"))
     rows = rows.select("doc_id", "norm", F.substring("norm", 1, 32).alias("lead"), F.xxhash64("norm").alias("h"))
     rows = rows.repartitionByRange("lead", "h", "doc_id").sortWithinPartitions("lead", "h", "norm", "doc_id")
     runs = cut(rows.select("doc_id", "norm", "h").mapInArrow(_runs, RUNS))
@@ -106,21 +106,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows with one id (or none) whose normalised texts are equal, one."""
-    out = exact_dedup(docs)
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of rows with one id (or none) whose normalised texts are equal, one stays: that whose columns are least as JSON.
+    """
+    out = exact_dedup(docs, id_col, text_col)
     kept = cut(out.where("kept").select("doc_id", "text_sha256"))
-    same_id = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    if kept.groupBy("doc_id").count().where("count > 1").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(kept, same_id, "left_semi")
-    sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE, " ").cast("binary"), 256)
-    name = "_sha"
-    while name in docs.columns:
-        name += "_"
+    ident, sha, place = free_names(docs, "id", "sha", "place")
+    names = [F.col(quoted(c)) for c in docs.columns]
+    rows = docs.withColumn(ident, F.col(quoted(id_col)).cast("long"))
+    by_id = rows.groupBy(ident).count().where("count > 1")
+    kept = kept.toDF("keep_id", "keep_sha")
+    if by_id.isEmpty():
+        return rows.join(kept, rows[ident].eqNullSafe(kept["keep_id"]), "left_semi").select(*names)
     # The sha is a column before the join, so that both know it: equal ids may differ in white space only.
-    marked = docs.withColumn(name, sha)
-    same = marked["doc_id"].eqNullSafe(kept["doc_id"]) & (marked[name] == kept["text_sha256"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
+    norm = F.regexp_replace(F.coalesce(F.col(quoted(text_col)), F.lit("")), SPACE, " ")
+    rows = rows.withColumn(sha, F.sha2(norm.cast("binary"), 256))
+    rows = rows.join(kept, rows[ident].eqNullSafe(kept["keep_id"]) & (rows[sha] == kept["keep_sha"]), "left_semi")
+    by = Window.partitionBy(ident, sha).orderBy(F.to_json(F.struct(*names)))
+    return rows.withColumn(place, F.row_number().over(by)).where(F.col(place) == 1).select(*names)
 
 
 ORACLE = """
