@@ -16,8 +16,9 @@ so a run that very many documents share is a row for each part (or a few, where
 runs go back to their part, where they meet its documents, whose runs are hashed again; so no places are kept or moved.
 
 Defined results: null text stays null, empty stays empty; a text whose sentences are all covered becomes empty; a repeated
-row (same id and text) counts once, and each copy gets the same result; rows with equal ids and different texts count as
-one place and do not repeat one another; a null id comes first; an empty table gives an empty result; other columns pass through.
+row (same id and text) counts once, and each copy gets the same result; rows with equal ids (or none) and
+different texts are different places, in the order of a hash of their texts; a null id comes first; a text may have any length, its sentences are held
+by one task; an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, partitions, release
+from .common import cut, free_names, partitions, quoted, release
 
 SENTENCES, WORDS, PIECE, WINDOW = 2, 15, 16, 9
 NO_ID = -(2**63)
@@ -194,32 +195,39 @@ def _clean(text: str | None, key: int, marked: tuple[np.ndarray, np.ndarray, np.
     if len(marked[0]):
         i = np.minimum(np.searchsorted(marked[0], h1), len(marked[0]) - 1)
         gone |= (marked[0][i] == h1) & (marked[1][i] == h2) & (marked[2][i] < key)
-    return remove_runs(text, (first[gone] << 25 | (last[gone] - first[gone]) << 1).tolist(), ends)
+    return remove_runs(text, first[gone], last[gone], ends)
 
 
-def remove_runs(text: str, covered: list[int], ends: list[int] | None = None) -> tuple[str, int]:
-    """The text without the sentences that the runs cover, and the number of removed ones."""
-    if not covered:
+def remove_runs(text: str, first, last, ends: list[int] | None = None) -> tuple[str, int]:
+    """The text without the sentences of the runs, from the first to the last of each, and the number of removed ones."""
+    if not len(first):
         return text, 0
     ends = ends or sentences(text)[0]
     gone = np.zeros(len(ends) + 1, "int64")
-    for run in covered:
-        first = run >> 25 & 0xFFFFFF
-        gone[first] += 1
-        gone[first + (run >> 1 & 0xFFFFFF) + 1] -= 1
+    np.add.at(gone, first, 1)
+    np.add.at(gone, np.asarray(last) + 1, -1)
     gone = np.cumsum(gone)[:-1] > 0
     kept = [text[lo:hi] for lo, hi, g in zip([0, *ends[:-1]], ends, gone.tolist()) if not g]
     return "".join(kept), int(gone.sum())
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated sentences gone from the text, and one more column: n_removed, the number of these sentences."""
+    """``docs`` with the repeated sentences gone from the text, and one more column: n_removed, the number of these sentences.
+
+    Where the table has an n_removed of its own, the number's column is the last one, called _n_removed (with further underscores if need be).
+    """
     spark = docs.sparkSession
-    docs = docs.drop("n_removed")
     n = partitions(spark)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    rows = docs.select(F.pmod(F.xxhash64(key, F.xxhash64(F.col(text_col).cast("string"))), F.lit(n)).cast("int").alias("p"), key.alias("key"), F.col(text_col).alias("text"), packed.alias("row"))
+    counted = "n_removed" if "n_removed" not in [c.lower() for c in docs.columns] else free_names(docs, "n_removed")[0]
+    packed = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text = F.col(quoted(text_col)).cast("string")
+    rows = docs.select(F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("h"), text.alias("text"), packed.alias("row"))
+    if not rows.groupBy("key").count().where("count > 1").isEmpty():
+        # Ids that aren't unique: places are numbered in the order of id and hash; numbers of later ranges are larger.
+        places = rows.select("key", "h").distinct().repartitionByRange("key", "h").sortWithinPartitions("key", "h")
+        places = cut(places.select("key", "h", F.monotonically_increasing_id().alias("place")))
+        rows = rows.join(places, ["key", "h"]).select(F.col("place").alias("key"), "h", "text", "row")
+    rows = rows.select(F.pmod(F.xxhash64("key", "h"), F.lit(n)).cast("int").alias("p"), "key", "text", "row")
     spans = rows.select("p", "key", "text").repartition(n, "p").mapInArrow(_spans, SPANS)
     # A run has a row for each part at most, or a few, so that no task gets one run's places.
     marks = cut(spans.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_repeated, MARKS))
@@ -250,13 +258,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 done += [_clean(next(texts), k, marked) for k in key[lo:hi].tolist()]
             if done:
                 cols[slot] = pa.array([d[0] for d in done], pa.string())
-                yield pa.record_batch([*cols, pa.array([d[1] for d in done], pa.int64())], names=[*names, "n_removed"])
+                yield pa.record_batch([*cols, pa.array([d[1] for d in done], pa.int64())], names=[*names, counted])
 
     fields = [f if f.name != text_col else StructField(f.name, StringType()) for f in docs.schema.fields]
-    return both.mapInArrow(clean, StructType([*fields, StructField("n_removed", LongType())]))
+    return both.mapInArrow(clean, StructType([*fields, StructField(counted, LongType())]))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated sentences gone and the number of characters brought up to date; all rows stay."""
     out = substring_dedup(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
+    return out.select(*[F.length("text").cast(f.dataType).alias(f.name) if f.name == "n_chars" else F.col(quoted(f.name)) for f in docs.schema.fields])
