@@ -4,6 +4,10 @@ Both vocabularies split a text at white space before they merge, so the ids of a
 a row. A batch is split by Arrow, its distinct words are looked up in a table that the worker keeps, missing words
 go through the library, and the ids are gathered by numpy. Texts whose white space is not regular (for the
 byte-level vocabulary, where white space has ids of its own) are encoded whole by the library.
+
+A special token's string in a text is ordinary text, as the description beside the vocabulary files has it
+(``encode_special_tokens = True``), so that no document can forge an end of text; with ``special=True`` it becomes the special id, as the library does when
+nothing is set. Texts that hold such a string are then encoded whole.
 """
 
 from __future__ import annotations
@@ -19,14 +23,16 @@ import pyarrow.compute as pc
 TABLE_WORDS = 1_500_000
 #: White space at an end, or two white-space characters in a row.
 _ODD = r"^[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]{2}|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]$"
-_encoders: dict[tuple[str, bool], "WordEncoder"] = {}
+_encoders: dict[tuple[str, bool, bool], "WordEncoder"] = {}
 
 
-def encoder(path: str, drops_space: bool) -> "WordEncoder":
+def encoder(path: str, drops_space: bool, special: bool = False) -> "WordEncoder":
     """The worker's encoder for a vocabulary file; ``drops_space``: white space has no ids."""
-    if (path, drops_space) not in _encoders:
-        _encoders[path, drops_space] = WordEncoder(path, drops_space)
-    return _encoders[path, drops_space]
+    key = path, drops_space, special
+    if key not in _encoders:
+        _encoders.clear()  # a worker holds one table of words
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
 
 
 class WordTable:
@@ -70,12 +76,13 @@ def with_whole(odd: np.ndarray, ids: np.ndarray, ends: np.ndarray, whole: np.nda
 
 
 class WordEncoder:
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not special
+        self.whole = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()] if special else []
         self.drops_space = drops_space
         self.table = WordTable(self._library)
 
@@ -92,12 +99,13 @@ class WordEncoder:
         """Flat ids and, for each text, where its ids end. Null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         n = len(texts)
+        odd = np.zeros(n, bool) if self.drops_space else pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        for token in self.whole:
+            odd = odd | pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts) if odd.any() else texts
         if self.drops_space:
-            odd = np.zeros(n, bool)
-            words = pc.ascii_split_whitespace(texts)
+            words = pc.ascii_split_whitespace(plain)
         else:
-            odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-            plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts) if odd.any() else texts
             # A word takes the one space before it; a line feed starts a word of its own that takes none.
             words = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
         coded = words.flatten().dictionary_encode()
