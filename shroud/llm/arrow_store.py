@@ -1,13 +1,14 @@
 """Token ids in Arrow files with fixed-size-list batches.
 
 Documents in ascending order of id are dealt into ranges; each range writes one Arrow file of equal-length sequences
-(``fixed_size_list[1024]`` of ids, as wide as the vocabulary needs, and ``fixed_size_list<bool>[1024]`` of the mask, a bit for each
-id, 64 sequences a batch), which a reader can map into memory and address without copying, and one Arrow file with the documents' places in that stream. A file's
+(``fixed_size_list[1024]`` of ids, as wide as the vocabulary needs, and ``fixed_size_list<uint8>[1024]`` of the mask, a byte for each
+id, 64 sequences a batch), which a reader can map into memory and address without copying either, and one Arrow file with the documents' places in that stream. A file's
 name has its task's attempt in it, and only files named in the written manifest are read, so retried and speculative
-tasks do no harm.
+tasks do no harm. Folders are URIs of any store that Arrow opens; Spark's names for object stores (``s3a``, ``s3n``) are understood.
 
 Defined results: null text is empty and has only the end id; an empty table gives no files and an empty result; equal
-ids are ordered by text; a null id comes first; other columns are ignored.
+ids are ordered by a hash of the text, then by text, and a repeated row is stored again; null ids come first; a text of any length goes on over
+as many sequences as it needs; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, quoted, slices
 from .tokens import encoder
 
 LENGTH = 1024  # ids in a sequence
@@ -31,27 +32,29 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 
 def _schema(length: int, wide: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 def _open(uri: str):
+    """File system and path of a URI as Spark writes it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def _sequences(ids: np.ndarray, length: int) -> pa.RecordBatch:
     rows = -(-len(ids) // length)
     full = np.zeros(rows * length, ids.dtype)
     full[: len(ids)] = ids
-    mask = np.arange(rows * length) < len(ids)
+    mask = (np.arange(rows * length) < len(ids)).astype("uint8")
     return pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(full), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=_schema(length, ids.dtype.itemsize == 4))
 
 
-def _writer(folder: str, vocabulary: str, end_id: int, length: int):
+def _writer(folder: str, vocabulary: str, end_id: int, length: int, special: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        words = encoder(vocabulary, True)
+        words = encoder(vocabulary, True, special)
         width = "uint16" if max(words.library.get_vocab_size(), end_id + 1) <= 1 << 16 else "uint32"
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
         store, path = _open(f"{name}.seq.arrow")
@@ -80,19 +83,19 @@ def _writer(folder: str, vocabulary: str, end_id: int, length: int):
     return write
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """Write the files below ``folder`` (a URI that all executors reach); returns the manifest, a row for each file pair."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"), F.xxhash64(F.col(quoted(text_col))).alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    return cut(rows.mapInArrow(_writer(folder, vocabulary, end_id, length), MANIFEST))
+    return cut(rows.mapInArrow(_writer(folder, vocabulary, end_id, length, special), MANIFEST))
 
 
 def sequence(uri: str, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence, by its place in a file. The ids are a view of the mapped file; nothing but bits is copied."""
+    """Ids and mask of one sequence, by its place in a file: views of the mapped file, nothing is copied."""
     path = _open(uri)[1]
     with pa.ipc.open_file(pa.memory_map(path)) as file:
         batch = file.get_batch(row // ROWS)
-        return batch["ids"][row % ROWS].values.to_numpy(), batch["mask"][row % ROWS].values.to_numpy(zero_copy_only=False)
+        return batch["ids"][row % ROWS].values.to_numpy(), batch["mask"][row % ROWS].values.to_numpy()
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +104,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, path = _open(seq_uri)
             with store.open_input_file(path) as a, store.open_input_file(_open(doc_uri)[1]) as b:
                 seqs, docs = pa.ipc.open_file(a), pa.ipc.open_file(b)
-                stream = (x["ids"].values.to_numpy()[x["mask"].values.to_numpy(zero_copy_only=False)] for x in map(seqs.get_batch, range(seqs.num_record_batches)))
+                stream = (x["ids"].values.to_numpy()[x["mask"].values.to_numpy().view(bool)] for x in map(seqs.get_batch, range(seqs.num_record_batches)))
                 have = np.zeros(0, "uint16")
                 for i in range(docs.num_record_batches):
                     doc = docs.get_batch(i)
