@@ -12,7 +12,7 @@ it, in any order), and returns the shared part of the longer text; equal fingerp
 touches, about 65 code points each; a stretch that repeats itself within 32 places has no cuts and is one span.
 
 The next document (descending id; after the last, the first) is found without a global sort in one task: ids are dealt into
-ranges by quantiles, and the one row that follows each range is sent there too.
+ranges by quantiles (an id that many rows have, by the hash of the text as well), and the one row that follows each range is sent there too.
 
 Defined results: null text is empty; two empty texts are alike (1), an empty and a full one are not (0); equal ids are
 ordered by the hash of their text, descending; a single document is its own next; a null id counts as the smallest id;
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, quoted
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -248,18 +248,24 @@ def _count_above(marks: list[int], value: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of the contract for each document, and the length of its common start with the next document."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     n = partitions(spark)
-    marks = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []), reverse=True)
-    # Ranges in descending order of id: one number for each partition comes to the driver.
-    rows = rows.withColumn("bucket", _count_above(marks, F.col("doc_id")))
-    tops = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("t")).orderBy("bucket").collect()
+    times = Counter(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or [])
+    # Ranges in descending order of id: one number for each partition comes to the driver. An id that holds several has its hashes dealt as well.
+    marks = sorted(times, reverse=True)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    deal = F.lit(0).cast("long")
+    for mark, k in times.items():
+        if k > 1:
+            bits = k.bit_length()
+            deal = F.when(F.col("doc_id") == mark, F.shiftright(F.bitwise_not("h"), 64 - bits) + (1 << bits - 1)).otherwise(deal)
+    rows = rows.withColumn("bucket", _count_above(marks, F.col("doc_id")).cast("long") * (1 << 32) + deal)
+    tops = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("t")).orderBy("bucket").collect()
     if not tops:
         return spark.createDataFrame([], _OUT)
     # The first row of each range is also a guest, after the last row, in the range before it (the first range's in the last).
     guests = [(t.bucket, t.t.doc_id, t.t.h, tops[i - 1].bucket) for i, t in enumerate(tops)]
-    guests = F.broadcast(spark.createDataFrame(guests, "bucket int, doc_id long, h long, host int"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    guests = F.broadcast(spark.createDataFrame(guests, "bucket long, doc_id long, h long, host long"))
     sent = rows.join(guests, ["bucket", "doc_id", "h"], "left")
     places = F.filter(F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(True).alias("guest"))), lambda x: x.bucket.isNotNull())
     sent = sent.select("doc_id", "h", "text", F.explode(places).alias("p")).select("p.bucket", "p.guest", "doc_id", "h", "text")

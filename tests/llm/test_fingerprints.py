@@ -70,3 +70,15 @@ def test_documents(docs, texts, empty, repeated):
     assert fingerprint_documents(repeated).count() == repeated.count()
     one = fingerprint_documents(docs.where("doc_id = 8")).collect()
     assert len(one) == 1 and one[0].near_next == 1
+
+
+def test_hot_ids_are_dealt_by_their_texts(spark):
+    """A third of the rows without an id, a third with one id: same results as in one range, and several ranges for each."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i} " * (i % 7)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprint_documents(df).collect()
+    assert len(got) == 600
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "text string").selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], hashes[r[1]]), reverse=True)
+    want = sorted(((i, len(t), len(os.path.commonprefix([t, u]))) for (i, t), (_, u) in zip(order, order[1:] + order[:1])), key=repr)
+    assert sorted(((r.doc_id, r.n_chars, r.same_start_next) for r in got), key=repr) == want
