@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .arrow_store import read_documents, write_tokens
-from .common import cut, read, remove_dir, scratch_dir
+from .common import cut, read, scratch
 from .exact_dedup import ORACLE as EXACT_SQL
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_documents
@@ -14,7 +14,7 @@ from .packing import pack
 from .quality import classify
 from .spans import substring_dedup
 from .suffix_pieces import encode_digests
-from .url_templates import DEPTH, judge_urls
+from .url_templates import judge_urls
 from .url_templates import oracle as url_sql
 
 
@@ -53,11 +53,9 @@ def op7_packing(spark, sf_dir):
 
 
 def op8_arrow_store(spark, sf_dir):
-    folder = scratch_dir(spark)
-    manifest = write_tokens(read(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
-    rows = cut(read_documents(manifest))
-    remove_dir(spark, folder)
-    return rows
+    with scratch(spark) as folder:
+        manifest = write_tokens(read(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
+        return cut(read_documents(manifest))
 
 
 def op9_jaccard_join(spark, sf_dir):
@@ -65,7 +63,7 @@ def op9_jaccard_join(spark, sf_dir):
 
 
 def op10_url_templates(spark, sf_dir):
-    return judge_urls(read(spark, sf_dir, "pages"), depth=DEPTH)  # as its SQL does
+    return judge_urls(read(spark, sf_dir, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentence_spans, op2_suffix_array_pieces, op3_additive_quality, op4_crf_language, op5_prefix_fingerprints, op6_exact_dedup, op7_packing, op8_arrow_store, op9_jaccard_join, op10_url_templates)}

@@ -26,7 +26,7 @@ from .common import cut, lower_ascii
 
 #: (verdict, host, path) of the contract.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-DEPTH = 4  # levels of the tree in the query and its SQL; deeper segments fold into one there
+DEPTH = 8  # levels that the SQL is written for; on paths of more segments it says less than ``judge_urls``
 SHARE = 20  # a child with at least 1/20 of its parent's pages keeps its segment
 Z2 = 9.0  # squared deviations from the siblings' pooled share that still count as alike
 REJECT = (3, 5)  # reject at a smoothed purity of 3/5 or more
