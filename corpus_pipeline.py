@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shroud.llm.common import cut, read, remove_dir, scratch_dir
+from shroud.llm.common import cut, read, scratch
 from shroud.llm.exact_dedup import drop_copies
 from shroud.llm.jaccard_join import keep_first
 from shroud.llm.packing import pack
@@ -44,10 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = read(spark, sf_dir, "documents"), scratch_dir(spark)
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
-        docs = spark.read.parquet(f"{folder}/{i}_{name}")
-    out = cut(docs)
-    remove_dir(spark, folder)
-    return out
+    docs = read(spark, sf_dir, "documents")
+    with scratch(spark) as folder:
+        for i, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
+            docs = spark.read.parquet(f"{folder}/{i}_{name}")
+        return cut(docs)
