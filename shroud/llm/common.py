@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8 << 20
 #: ASCII white space as the contracts of the operators define it: space and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -32,10 +33,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What runs in here sends Python batches of ``BATCH_BYTES`` at most, as the JVM and the worker hold several each; results are the same."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise into the shared checkpoint folder, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+from conftest import prose
 from shroud.llm import spans
 from shroud.llm.exact_dedup import drop_copies, exact_dedup
 from shroud.llm.jaccard_join import jaccard_components, jaccard_links, keep_first, least_overlap, prefix_length, tree_join
@@ -61,13 +62,14 @@ def brute_spans(texts):
     for i, t in sorted(texts.items()):
         ends, sizes, said = spans.sentences(t or "")
         first, last = spans.runs(sizes)
-        covered = []
+        covered = [], []
         for a, b in zip(first.tolist(), last.tolist()):
             run = tuple(said[a : b + 1])
             if run in seen:
-                covered.append(a << 25 | (b - a) << 1)
+                covered[0].append(a)
+                covered[1].append(b)
             seen.add(run)
-        out[i] = (None, 0) if t is None else spans.remove_runs(t, covered)
+        out[i] = (None, 0) if t is None else spans.remove_runs(t, *covered)
     return out
 
 
@@ -121,11 +123,23 @@ def test_substring_dedup_odd_tables(empty, repeated, docs):
     once = {(r.doc_id, r.text) for r in substring_dedup(docs).select("doc_id", "text").collect()}
     twice = {(r.doc_id, r.text) for r in substring_dedup(repeated.where("doc_id is not null")).select("doc_id", "text").collect()}
     assert once == twice
-    out = remove_repeats(docs)
-    assert out.columns == docs.columns
+    out = remove_repeats(docs.withColumnRenamed("source", "so.urce").withColumnRenamed("h", "n_removed"))
+    assert out.columns == ["doc_id", "text", "lang", "so.urce", "n_chars", "score", "n_removed"]
+    assert out.where("n_removed <> 'clash'").count() == 0
+    assert substring_dedup(out).columns[-1] == "_n_removed"
     assert out.where("n_chars <> length(text)").count() == 0
 
 
+def test_substring_dedup_of_null_and_equal_ids(spark):
+    rng = random.Random(2)
+    passage, other = prose(rng, 80), prose(rng, 80)
+    rows = [(None, passage), (None, prose(rng, 20) + "\n" + passage), (7, other), (7, prose(rng, 30) + "\n" + other), (7, other), (8, prose(rng, 40))]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    for part in (passage, other):  # one place keeps it; a repeated row is the same place
+        assert len({r.text for r in got if part in r.text}) == 1
+    assert len(got) == 6 and sum(r.n_removed > 0 for r in got) in (2, 3)
+
+
 def shingles(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
@@ -180,14 +194,82 @@ def test_jaccard_links_are_all_pairs(spark, docs, texts, empty):
     assert [x.count() for x in jaccard_links(empty)] == [0, 0]
 
 
+def brute_rows(rows):
+    """Components of (id, text) rows, each row a document of its own: sets, labels and the rows of each component."""
+    sets = [shingles(t) for _, t in rows]
+    label = brute_components({i: t for i, (_, t) in enumerate(rows)})
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(label[i][1], []).append(i)
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    return sets, groups, {g: least([rows[i][0] for i in members]) for g, members in groups.items()}
+
+
 def test_jaccard_odd_tables(empty, repeated, texts):
-    assert jaccard_components(empty).count() == 0
-    want = brute_components(texts)
-    for r in jaccard_components(repeated).collect():
-        if r.doc_id is not None:
-            assert (r.n_shingles, r.component_id) == want[r.doc_id]
-    kept = {r.doc_id for r in keep_first(repeated.where("doc_id is not null")).collect()}
-    assert kept == {c for _, c in want.values()}
+    assert jaccard_components(empty).count() == 0 and keep_first(empty).count() == 0
+    rows = [(r.doc_id, r.text) for r in repeated.collect()]
+    sets, groups, names = brute_rows(rows)
+    want = sorted([(rows[i][0], len(sets[i]), names[g]) for g, members in groups.items() for i in members], key=repr)
+    assert sorted([tuple(r) for r in jaccard_components(repeated).collect()], key=repr) == want
+    kept = keep_first(repeated)
+    assert kept.columns == repeated.columns and kept.schema == repeated.schema
+    assert sorted([r.doc_id for r in kept.collect()], key=repr) == sorted([names[g] for g in groups], key=repr)
+
+
+def test_jaccard_null_and_equal_ids_are_documents_of_their_own(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other, third = " ".join(words), " ".join(words + ["more"]), " ".join(f"z{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    rows = [(5, text), (None, near), (None, other), (7, other + " end"), (7, third), (7, third), (None, None), (None, "x"), (None, "x"), (8, "")]
+    df = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, `so.me` string, h int").repartition(3)
+    got = sorted([tuple(r) for r in jaccard_components(df).collect()], key=repr)
+    sets, groups, names = brute_rows(rows)
+    assert got == sorted([(rows[i][0], len(sets[i]), names[g]) for g, members in groups.items() for i in members], key=repr)
+    assert (None, 26, 7) in got and (None, 57, 5) in got and (None, 1, None) in got
+    kept = keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted([(5, text), (7, other + " end"), (7, third), (None, None), (None, "x"), (8, "")], key=repr)
+    alone = spark.createDataFrame([(5, text), (None, near), (None, other)], "doc_id long, text string")
+    assert sorted([(r.doc_id, r.text) for r in keep_first(alone).collect()], key=repr) == [(5, text), (None, other)]
+
+
+def test_jaccard_rounds_lose_no_link(spark):
+    """Near copies of a few texts, many unlike one another, over all rounds."""
+    rng = random.Random(4)
+    texts, at = {}, 0
+    for k in range(3):
+        base = [f"{k}x{i}" for i in range(150)]
+        for _ in range(70):
+            words = list(base)
+            for _ in range(rng.randint(0, 6)):
+                words[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+            texts[at] = " ".join(words)
+            at += 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()} == brute_components(texts)
+
+
+def test_bounds_on_prefixes_and_bits_lose_no_pair():
+    import numpy as np
+
+    from shroud.llm.jaccard_join import NUM, DEN, parity
+
+    rng = np.random.default_rng(8)
+    alike = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 120))
+        x = rng.choice(400, n, replace=False)
+        y = np.unique(np.concatenate([x[rng.random(n) > rng.random() * 0.2], rng.choice(400, int(rng.integers(0, 1 + n // 5)))]))
+        x, m = np.sort(x), len(y)
+        common = len(np.intersect1d(x, y))
+        if not m or DEN * common < NUM * (n + m - common):
+            continue
+        alike += 1
+        need = -(-NUM * (n + m) // (NUM + DEN))
+        least = need - (-(-NUM * max(n, m) // DEN) - 1)
+        assert len(np.intersect1d(x[: prefix_length(n)], y[: prefix_length(m)])) >= least
+        bits = [np.unpackbits(b.view("uint8")) for b in parity([x.astype("uint64"), y.astype("uint64")])]
+        assert (bits[0] != bits[1]).sum() <= n + m - 2 * common <= n + m - 2 * need
+    assert alike > 500
 
 
 def test_bounds_and_tree():
