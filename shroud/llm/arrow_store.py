@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, quoted, slices
-from .tokens import encoder
+from .tokens import BYTES, SLICE, encoder, release_unused
 
 LENGTH = 1024  # ids in a sequence
 ROWS = 64  # sequences in a batch
@@ -63,7 +63,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, length: int, special: boo
         with store.open_output_stream(path) as a, store.open_output_stream(path.replace(".seq.", ".doc.")) as b:
             with pa.ipc.new_file(a, _schema(length, width == "uint32")) as seqs, pa.ipc.new_file(b, DOCS) as docs:
                 for batch in batches:
-                    for part in slices(batch, "text", 3000):
+                    for part in slices(batch, "text", SLICE, BYTES):
                         ids, ends = words.encode(part["text"])
                         ids = np.insert(ids, ends, end_id).astype(width)
                         ends = ends + np.arange(1, len(ends) + 1)
@@ -77,6 +77,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, length: int, special: boo
                             rest = rest[ROWS * length :]
                 if len(rest):
                     seqs.write_batch(_sequences(rest, length))
+        release_unused()
         if n_docs:
             yield pa.record_batch([pa.array([task.partitionId()], pa.int32()), pa.array([f"{name}.seq.arrow"]), pa.array([f"{name}.doc.arrow"]), pa.array([n_tokens]), pa.array([n_docs])], names=["part", "seq_uri", "doc_uri", "n_tokens", "n_docs"])
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, slices
-from .tokens import encoder
+from .tokens import BYTES, SLICE, encoder, release_unused
 
 LENGTH = 1024
 POWERS = (128, 256, 512)  # shorter sequences that need no padding
@@ -189,7 +189,7 @@ def _packer(vocabulary: str, end_id: int, special: bool):
         encode = encoder(vocabulary, False, special).encode
         stream = _Stream(TaskContext.get().partitionId(), _sentence_marks(vocabulary))
         for batch in batches:
-            for part in slices(batch, "text", 3000):
+            for part in slices(batch, "text", SLICE, BYTES):
                 ids, ends = encode(part["text"])
                 ids = np.insert(ids, ends, end_id).astype("uint32")
                 ends = ends + np.arange(1, len(ends) + 1)
@@ -199,6 +199,7 @@ def _packer(vocabulary: str, end_id: int, special: bool):
                         yield stream.pack(False)
         if stream.docs:
             yield stream.pack(True)
+        release_unused()
 
     return pack
 

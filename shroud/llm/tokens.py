@@ -20,7 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that the table of a worker holds at most; further words are encoded each time.
-TABLE_WORDS = 1_500_000
+TABLE_WORDS = 700_000
+SLICE, BYTES = 4000, 8 << 20  # texts and bytes of text that are encoded at a time
 #: White space at an end, or two white-space characters in a row.
 _ODD = r"^[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]{2}|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]$"
 _encoders: dict[tuple[str, bool, bool], "WordEncoder"] = {}
@@ -54,10 +55,11 @@ class WordTable:
             new = words.take(pa.array(lacking))
             ids, stops = self.encode_words(new.to_pylist())
             rows[lacking] = len(ends) + np.arange(len(lacking))
+            if room := min(TABLE_WORDS - len(ends), len(lacking)):
+                self.known = pa.concat_arrays([self.known, new[:room]])
+                self.flat, self.ends = np.concatenate([flat, ids[: stops[room - 1]]]), np.concatenate([ends, stops[:room] + len(flat)])
             ends = np.concatenate([ends, stops + len(flat)])
             flat = np.concatenate([flat, ids])
-            if len(ends) <= TABLE_WORDS:
-                self.known, self.flat, self.ends = pa.concat_arrays([self.known, new]), flat, ends
         return flat, np.concatenate([[0], ends])[rows], ends[rows] if len(ends) else rows
 
     def gather(self, words: pa.Array, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +70,11 @@ class WordTable:
         return flat[np.arange(total[-1]) + np.repeat(shift, np.diff(total))], total[ends]
 
 
+def release_unused() -> None:
+    """Give back what Arrow holds for later batches, at the end of a task: an idle worker stays in its executor's memory."""
+    pa.default_memory_pool().release_unused()
+
+
 def with_whole(odd: np.ndarray, ids: np.ndarray, ends: np.ndarray, whole: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Puts the ids of the texts marked ``odd``, encoded by themselves, into their places."""
     parts = iter(np.split(whole, stops[:-1]))
