@@ -8,6 +8,7 @@ import json
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
@@ -95,7 +96,7 @@ def _all(kind: type, values) -> bool:
 
 def records(name: str, values: list) -> Grid:
     if len(values) < 2 or not _all(dict, values):
-        raise NotTabular(f"{name}: not a list of at least two records")
+        raise NotTabular(f"{name} holds fewer than two objects, or other values among them")
     columns = list(dict.fromkeys(k for v in values for k in v))
     return Grid(name, columns, [[cell(v.get(c)) for c in columns] for v in values])
 
@@ -133,10 +134,20 @@ def whole_json(name: str, text: str) -> list[Grid]:
         return [one]
     found = [g for k, v in value.items() if (g := json_grid(str(k), v))] if isinstance(value, dict) else []
     if not found:
-        raise NotTabular(f"{name}: no list of records in it")
+        raise NotTabular(f"nothing in {name} has the shape of a table")
     return found
 
 
+def json_values(kind: str, text: str) -> Iterator:
+    """The values of a JSON file, or of the lines of one that can be read."""
+    if kind != "jsonl":
+        yield json.loads(text)
+        return
+    for line in filter(str.strip, text.splitlines()):
+        with suppress(ValueError):
+            yield json.loads(line)
+
+
 def json_lines(name: str, text: str) -> list[Grid]:
     return [records(name, [json.loads(line) for line in text.splitlines() if line.strip()])]
 

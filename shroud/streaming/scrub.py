@@ -45,14 +45,14 @@ def scrub_batch(rows: DataFrame, column: str, key: list[str], state: State, door
     return free.unionByName(done.select(free.columns))
 
 
-def scrub_stream(stream: DataFrame, column: str, key: list[str], state: State, sink: Callable[[DataFrame, int], None], checkpoint: str, door: str | None = None, once: bool = True) -> StreamingQuery:
+def scrub_stream(stream: DataFrame, column: str, key: list[str], state: State, sink: Callable[[DataFrame, int], None], checkpoint: str, door: str | None = None, once: bool = True, attachment: str | None = None, ready: Callable[[], bool] = lambda: True) -> StreamingQuery:
     """Scrub a stream batch by batch; numbering has one writer, so batches follow one another.
 
-    ``sink`` gets each scrubbed batch and its number, and should write so that a repeated batch does no harm.
+    ``door``, ``attachment``: as for a batch. ``ready`` is asked before each batch. ``sink`` gets each scrubbed batch and its number, and should write so that a repeated batch does no harm.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(scrub_batch(cut(batch), column, key, state, door), number)
+        sink(scrub_batch(cut(batch), column, key, state, door, attachment, ready()), number)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

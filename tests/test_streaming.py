@@ -44,6 +44,17 @@ def test_fails_closed(spark, tmp_path, monkeypatch):
     assert streaming.scrub_batch(safe, "text", ["k"], state, attachment="kind").where("withheld").isEmpty()
 
 
+def test_streams_know_attachments_and_whether_the_engine_works(spark, tmp_path):
+    rows = [(*r, "skill_listing" if r[0] == 2 else None) for r in ROWS]
+    for up in (True, False):
+        spark.createDataFrame(rows, SCHEMA + ", kind string").coalesce(1).write.parquet(f"{tmp_path}/in{up}/0")
+        stream = spark.readStream.schema(SCHEMA + ", kind string").parquet(f"{tmp_path}/in{up}/*")
+        q = streaming.scrub_stream(stream, "text", ["k"], state_of(spark, tmp_path / f"s{up}"), streaming.parquet_sink(f"{tmp_path}/out{up}"), f"{tmp_path}/c{up}", "door", True, "kind", lambda: up)
+        q.awaitTermination(300)
+        got = {r.k: (r.hits, r.withheld) for r in spark.read.parquet(f"{tmp_path}/out{up}").collect()}
+        assert got == {1: (int(up), False), 2: (0, False), 3: (0, False), 4: (0, False), 5: (0, not up)}
+
+
 def test_multiword_surfaces_in_turns(spark, monkeypatch):
     import random
 
