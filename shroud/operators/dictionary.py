@@ -21,11 +21,19 @@ SPAN = r"[0-9A-Za-z가-힣](?:[0-9A-Za-z가-힣@.+\-_]*[0-9A-Za-z가-힣])?"
 WINDOW_KEYS = 1_000_000
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names; one of our own only where driver and executors are one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (spark.sparkContext.master or "").partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="shroud-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialised in the shared checkpoint folder; a folder of our own only where the cluster names none."""
+    """Materialised in the shared checkpoint folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shroud-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 

@@ -12,6 +12,7 @@ spans, not texts, are joined with the dictionary.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,17 +81,17 @@ def _replace_all(df: DataFrame, column: str, surfaces: list[str], into: list[str
     told = df.sparkSession.sparkContext.broadcast((surfaces, into))
 
     @F.pandas_udf("struct<text:string,hits:int>")
-    def replaced(texts: pd.Series) -> pd.DataFrame:
+    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, finder = told.value, None
-        if len(known[0]) > 64:
+        if len(known[0]) > 64:  # made once for all batches of a task
             import ahocorasick
 
             finder = ahocorasick.Automaton()
             for i, s in enumerate(known[0]):
                 finder.add_word(s, i)
             finder.make_automaton()
-        out = [replace_surfaces(t, *known, finder) if isinstance(t, str) else (None, 0) for t in texts]
-        return pd.DataFrame(out, columns=["text", "hits"])
+        for texts in batches:
+            yield pd.DataFrame([replace_surfaces(t, *known, finder) if isinstance(t, str) else (None, 0) for t in texts], columns=["text", "hits"])
 
     return df.withColumn("_m", replaced(F.col(column))).withColumns({column: F.col("_m.text"), "hits": F.col("hits") + F.col("_m.hits")}).drop("_m")
 
@@ -180,8 +181,12 @@ def scrub(df: DataFrame, column: str, key: list[str], state: State, commit: bool
     ``key``: columns that tell rows apart and give the order in which new pseudonyms are numbered.
     """
     dictionary, mapping = cut(state.lookups()), state.mapping()
-    # The snapshot that both the numbering and the rewriting see.
-    ready = cut(with_matches(multiword(df, column, dictionary), column, "_found"))
+    # The snapshot that both the numbering and the rewriting see. Surfaces are replaced before the texts part at the gate of the
+    # detectors, so that no text goes that way twice.
+    ready = multiword(df, column, dictionary)
+    if not dictionary.where("multiword").isEmpty():
+        ready = cut(ready)
+    ready = cut(with_matches(ready, column, "_found"))
     found = ready.select(*key, F.explode("_found").alias("m"))
     seen = F.struct(*[F.col(k) for k in key], F.col("m.start").alias("_start"))
     keys = found.select(F.col("m.kind").alias("entity"), F.col("m.norm").alias("norm"), F.col("m.value").alias("raw"), seen.alias("seen"))
