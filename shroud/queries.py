@@ -195,7 +195,36 @@ def pii_exact_matches(spark, sf_dir):
     return detect.find_pii(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
-@query()
+def _found(source: str, of: str, key: str, then: str) -> str:
+    return rf"""WITH
+e AS (SELECT {key}, 'EMAIL' AS kind, unnest(regexp_extract_all({source}, '{_EMAIL}', 2)) AS value FROM {of}),
+p0 AS (SELECT {key}, unnest(regexp_extract_all({source}, '(^|[^\w+-])({_US_CORE}[\w-]*)', 2)) AS value FROM {of}),
+c0 AS (SELECT {key}, unnest(regexp_extract_all({source}, '{_CARD}', 2)) AS value FROM {of}),
+c1 AS (SELECT {key}, value, regexp_replace(value, '\D', '', 'g') AS d FROM c0 WHERE regexp_full_match(value, '{_CARD_CORE}')),
+found AS (SELECT {key}, kind, value, lower(value) AS norm FROM e
+  UNION ALL SELECT {key}, 'CARD', value, d FROM c1 WHERE len(d) BETWEEN 13 AND 19 AND replace(d, d[1], '') <> '' AND {_LUHN}
+  UNION ALL SELECT {key}, 'PHONE', value, CASE WHEN starts_with(value, '+1') AND len(regexp_replace(value, '\D', '', 'g')) = 11
+    THEN substr(regexp_replace(value, '\D', '', 'g'), 2) ELSE regexp_replace(value, '\D', '', 'g') END FROM p0 WHERE regexp_full_match(value, '{_US_CORE}'))
+{then}"""
+
+
+@query(_found("text", "documents", "doc_id", "SELECT doc_id, kind, value, norm FROM found"))
+def pii_exact_values(spark, sf_dir):
+    """All detectors with their rules of precedence; the SQL has the kinds that the documents hold, which don't overlap there."""
+    return detect.find_pii(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "kind", "value", "norm")
+
+
+@query(rf"""
+WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS v FROM documents),
+d AS (SELECT v, regexp_replace(v, '\D', '', 'g') AS d FROM w),
+k AS (SELECT CASE WHEN regexp_full_match(v, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}') THEN 'EMAIL'
+  WHEN regexp_full_match(v, '\d{{6}}-?[1-8]\d{{6}}') AND substr(d, 3, 2)::INT BETWEEN 1 AND 12 AND substr(d, 5, 2)::INT BETWEEN 1 AND 31 THEN 'RRN'
+  WHEN regexp_full_match(v, '(1[1-9]|2[0-8])-\d{{2}}-\d{{6}}-\d{{2}}') THEN 'DRIVER'
+  WHEN regexp_full_match(v, '{_CARD_CORE}') AND len(d) BETWEEN 13 AND 19 AND replace(d, d[1], '') <> '' AND {_LUHN} THEN 'CARD'
+  WHEN regexp_full_match(v, '\d{{3}}-\d{{2}}-\d{{4}}') AND substr(v, 1, 3) NOT IN ('000', '666') AND v < '9' AND substr(v, 5, 2) <> '00' AND substr(v, 8) <> '0000' THEN 'SSN'
+  WHEN regexp_full_match(v, '(\+82[-.]?0?1[016789]|01[016789])[-.]?\d{{3,4}}[-.]?\d{{4}}|0(2|[3-6][1-5]|70)[-.)]\d{{3,4}}[-.]\d{{4}}') OR regexp_full_match(v, '{_US_CORE}') THEN 'PHONE' END AS kind FROM d)
+SELECT kind, count(*)::BIGINT AS n FROM k WHERE kind IS NOT NULL GROUP BY kind
+""")
 def pii_classify(spark, sf_dir):
     """The kind of values that are one match from end to end."""
     kinds = F.pandas_udf(detect.kinds_of, "string")
@@ -215,12 +244,12 @@ t AS (SELECT src, shape, n, row_number() OVER (PARTITION BY src ORDER BY n DESC,
 SELECT * FROM t WHERE place <= 3
 """)
 def shape_top3(spark, sf_dir):
-    from pyspark.sql import Window
-
-    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("src"), F.col(k).alias("k"), F.col(v).alias("v")) for t, k, v in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"))]
-    shapes = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("src", text.shape(F.col("v")).alias("shape")).agg(F.count("*").alias("n"), F.min("k").alias("first"))
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "first"))
-    return shapes.withColumn("place", place).where("place <= 3").select("src", "shape", "n", "place")
+    """The most frequent shapes of a column, from its profile."""
+    parts = []
+    for t, k, v in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name")):
+        rows = profiling.profile_frame(from_dataframe(t, table(spark, sf_dir, t), k, [v]))
+        parts.append(rows.select(F.lit(t).alias("src"), F.explode("shapes").alias("s")).select("src", "s.shape", "s.n", F.col("s.r").alias("place")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -255,18 +284,15 @@ def profile_kinds(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@query("""
-SELECT l_returnflag, count(*)::BIGINT AS n, bool_and(regexp_full_match(l_orderkey::VARCHAR, '-?\\d+')) AS key_int,
-  bool_and(regexp_full_match(strftime(l_shipdate, '%Y%m%d'), '\\d{8}')) AS ship_date, bool_and(regexp_full_match(l_linestatus, '-?\\d+')) AS status_int
-FROM lineitem GROUP BY l_returnflag
-""")
+_LINES = ("l_orderkey", "l_quantity", "l_returnflag", "l_linestatus", "ship_day")
+
+
+@query(_profile_sql(_LINES, "(SELECT *, strftime(l_shipdate, '%Y-%m-%d') AS ship_day FROM lineitem)"))
 def value_type_all(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    number = r"(?U)^-?\d+$"
-    return rows.groupBy("l_returnflag").agg(
-        F.count("*").alias("n"), F.bool_and(F.col("l_orderkey").cast("string").rlike(number)).alias("key_int"),
-        F.bool_and(text.is_date(F.date_format("l_shipdate", "yyyyMMdd"))).alias("ship_date"), F.bool_and(F.col("l_linestatus").rlike(number)).alias("status_int"),
-    )
+    """Types and counts of columns of integers, decimals, letters and days, from their profile."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("ship_day", F.date_format("l_shipdate", "yyyy-MM-dd")).withColumn("o", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    rows = profiling.profile_frame(from_dataframe("lineitem", lines, "o", list(_LINES)))
+    return rows.select("name", F.col("total").alias("non_null"), "distinct_values", F.round(F.col("distinct_values") / F.col("total"), 6).alias("unique_share"), "type")
 
 
 # ---- generalisation ----
@@ -379,13 +405,18 @@ def token_incremental(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT DISTINCT c_name AS surface FROM customer UNION SELECT DISTINCT c_custkey::VARCHAR FROM customer UNION SELECT DISTINCT c_mktsegment FROM customer)
-SELECT surface FROM v WHERE CASE WHEN regexp_full_match(trim(surface), '\\d+') THEN len(trim(surface)) >= 5 ELSE len(trim(surface)) >= 3 END
+WITH v AS (SELECT 'customer_id' AS col, c_custkey AS o, (c_custkey * 37)::VARCHAR AS surface FROM customer UNION ALL SELECT 'customer_name', c_custkey, c_name FROM customer),
+m AS (SELECT * FROM v WHERE CASE WHEN regexp_full_match(trim(surface), '\\d+') THEN len(trim(surface)) >= 5 ELSE len(trim(surface)) >= 3 END)
+SELECT col, surface, row_number() OVER (PARTITION BY col ORDER BY min(o))::BIGINT AS n FROM m GROUP BY col, surface
 """)
 def mask_register(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer")
-    values = rows.select(F.explode(F.array("c_name", F.col("c_custkey").cast("string"), "c_mktsegment")).alias("surface")).distinct()
-    return values.where(text.maskable(F.col("surface"), F.lit("identifier")))
+    """Values of columns that are masked until someone decides, profiled and registered; values that are not distinctive stay out."""
+    from .operators.apply import register_masks
+
+    made = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o"), (F.col("c_custkey") * 37).alias("customer_id"), F.col("c_name").alias("customer_name"), "c_mktsegment")
+    t, state = from_dataframe("customer", made, "o"), own_state(spark)
+    register_masks(state, "f", [t], [profiling.TableProfile(t.name, 0, profiling.profile_columns(t))])
+    return state.lookups().select(F.from_json("column", "array<string>")[1].alias("col"), "surface", F.regexp_extract("replacement", r"(\d+)$", 1).cast("long").alias("n"))
 
 
 @query("""
@@ -464,12 +495,33 @@ def restore_roundtrip(spark, sf_dir):
     return first_seen.where("expected is not null").join(back, "doc_id").select("doc_id", (F.col("back") == F.col("expected")).alias("same"))
 
 
-@query()
+@query(_found("text", "conversations", "role", """, n AS (SELECT role, count(*)::BIGINT AS hits FROM found WHERE role = 'user' GROUP BY role)
+SELECT role, false AS withheld, count(*)::BIGINT AS n, coalesce(max(hits), 0)::BIGINT AS hits FROM conversations LEFT JOIN n USING (role) GROUP BY role"""))
 def stream_scrub_conversations(spark, sf_dir):
+    """A batch as the stream gets it: what users say is scrubbed, responses pass."""
     rows = table(spark, sf_dir, "conversations").withColumn("door", F.when(F.col("role") == "user", "prompt").otherwise("response"))
     return scrub_batch(rows, "text", ["conv_id", "turn"], own_state(spark), door="door").groupBy("role", "withheld").agg(F.count("*").alias("n"), F.sum("hits").alias("hits"))
 
 
+@query("""
+SELECT c_custkey || '.0' AS span, 'R' || c_custkey AS replacement, 1::INT AS hits FROM customer UNION ALL SELECT c_custkey || '에게', 'R' || c_custkey || '에게', 1 FROM customer
+UNION ALL SELECT 'ab_' || c_custkey || '_x', 'ab_R' || c_custkey || '_x', 1 FROM customer UNION ALL SELECT c_custkey || '_' || c_custkey, 'R' || c_custkey || '_R' || c_custkey, 2 FROM customer
+""")
+def scrub_fallbacks(spark, sf_dir):
+    """Spans that are known as an integer, without a particle, or by their parts; and some that are not known."""
+    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"))
+    spans = k.select(F.explode(F.expr("array(k || '.0', k || '에게', 'ab_' || k || '_x', k || '_' || k, k || '.5', 'x' || k, k || '안녕')")).alias("span")).distinct()
+    known = k.select(F.col("k").alias("surface"), F.concat(F.lit("R"), "k").alias("replacement"), F.lit(1).alias("seq"))
+    return resolve(spans, known, spark.createDataFrame([], "token string"))
+
+
+@query(_found("text", "documents", "doc_id", "SELECT doc_id, count(*)::BIGINT AS hits, count(DISTINCT (kind, norm))::BIGINT AS n_tokens FROM found GROUP BY doc_id"))
+def scrub_document_hits(spark, sf_dir):
+    """Every document scrubbed: how many values were replaced, by how many different pseudonyms."""
+    out = scrub(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"], own_state(spark))
+    return out.where("hits > 0").select("doc_id", F.col("hits").cast("long").alias("hits"), F.size(tokens_in(F.col("text"))).cast("long").alias("n_tokens"))
+
+
 # ---- JSON and paths ----
 
 
@@ -478,8 +530,17 @@ SELECT k AS key, count(*)::BIGINT AS n, count(DISTINCT json_extract_string(props
 FROM (SELECT props, unnest(json_keys(props)) AS k FROM events WHERE props IS NOT NULL) GROUP BY k
 """)
 def json_leaves(spark, sf_dir):
-    leaves = table(spark, sf_dir, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
-    return leaves.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct_values"))
+    """Values of nested JSON with their keys, as masks for them are looked for."""
+    from .engine import leaves
+
+    @F.pandas_udf("array<struct<key:string,value:string>>")
+    def found(texts):
+        import json
+
+        return texts.map(lambda t: [{"key": k, "value": v} for k, v, _ in leaves(json.loads(t))], na_action="ignore")
+
+    rows = table(spark, sf_dir, "events").select(F.explode(found("props")).alias("l")).select("l.*")
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct_values"))
 
 
 @query("""
@@ -487,8 +548,16 @@ SELECT event_id, k AS key, CASE json_type(props, k) WHEN 'BOOLEAN' THEN json_ext
 FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE props IS NOT NULL)
 """)
 def json_cell_text(spark, sf_dir):
-    leaves = table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
-    return leaves.select("event_id", "key", F.nullif(F.regexp_replace("value", r"^(-?\d+)\.0+$", "$1"), F.lit("")).alias("cell"))
+    """JSON values as cells, by the rule of all readers."""
+    from .sources.parse import cell
+
+    @F.pandas_udf("array<struct<key:string,cell:string>>")
+    def cells(texts):
+        import json
+
+        return texts.map(lambda t: [{"key": k, "cell": cell(v)} for k, v in json.loads(t).items()], na_action="ignore")
+
+    return table(spark, sf_dir, "events").select("event_id", F.explode(cells("props")).alias("c")).select("event_id", "c.*")
 
 
 @query("""
@@ -537,6 +606,29 @@ def source_json(spark, sf_dir):
     return _cells(files.mapInArrow(parse_files, CELLS), ["k", "name", "region", "nested"])
 
 
+@query("""
+SELECT n_nationkey AS k, '[' || array_to_string(CASE n_nationkey % 6
+  WHEN 0 THEN ['a|b', n_nationkey || '|' || n_name, '7|~'] WHEN 1 THEN ['col_1|col_2', n_nationkey || '|' || n_name, '2.5|~'] WHEN 2 THEN ['_key|a|b', 'x|' || n_nationkey || '|~', 'y|~|' || n_name]
+  WHEN 3 THEN ['a|b', 'true|' || n_name, '~|[1, "z"]'] WHEN 4 THEN ['a|b|col_3', n_nationkey || '|' || n_name || '|3', '1|~|~'] ELSE ['이름|b', '가|' || n_name] END, ', ') || ']' AS lines FROM nation
+""")
+def source_shapes(spark, sf_dir):
+    """A small file for each nation: split, lists, records by key, JSON lines, ragged CSV, and CSV in an encoding that is not UTF-8."""
+    made = F.expr("""CASE k % 6 WHEN 0 THEN concat('{"columns":["a","b"],"data":[[', k, ',"', n, '"],[7.0,null]]}') WHEN 1 THEN concat('[[', k, ',"', n, '"],[2.5]]')
+      WHEN 2 THEN concat('{"x":{"a":', k, '},"y":{"b":"', n, '"}}') WHEN 3 THEN concat('{"a":true,"b":"', n, '"}\\n\\n{"a":null,"b":[1,"z"]}')
+      WHEN 4 THEN concat('a,b\\n', k, ',"', n, '",3\\n1') ELSE concat('이름,b\\n가,', n) END""")
+    kind = F.expr("CASE WHEN k % 6 < 3 THEN '.json' WHEN k % 6 = 3 THEN '.jsonl' ELSE '.csv' END")
+
+    @F.pandas_udf("binary")
+    def coded(texts, k):
+        return texts.combine(k, lambda t, i: t.encode("cp949" if i % 6 == 5 else "utf-8"))
+
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"), F.col("n_name").alias("n"))
+    files = rows.select(F.concat(F.col("k").cast("string"), kind).alias("path"), coded(made, F.col("k")).alias("content"))
+    cells = files.mapInArrow(parse_files, CELLS).select(F.split("path", r"\.")[0].cast("int").alias("k"), "ord", F.concat_ws("|", F.transform("cells", lambda c: F.coalesce(c, F.lit("~")))).alias("line"))
+    lines = cells.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"))
+    return lines.select("k", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["line"]), ", "), F.lit("]")).alias("lines"))
+
+
 @query("SELECT r_regionkey::VARCHAR AS k, r_name AS name, strftime(DATE '1899-12-30' + (32874 + r_regionkey)::INT, '%Y-%m-%d') AS day FROM region")
 def source_workbook(spark, sf_dir):
     """A workbook with numbers, inline text and dates, made by the executors."""
@@ -672,10 +764,14 @@ def apply_customer(spark, sf_dir):
     return copy.df.select(*[F.col(p).alias(n) for p, n in zip(copy.physical, copy.columns)])
 
 
-@query()
+@query("""
+WITH v AS (SELECT 'text' AS name, trim(text) AS v FROM documents UNION ALL SELECT 'lang', trim(lang) FROM documents UNION ALL SELECT 'source', trim(source) FROM documents),
+s AS (SELECT name, count(*)::BIGINT AS total, count(DISTINCT v)::BIGINT AS distinct_values, sum(len(v)) / count(*) >= 30 AS long FROM v WHERE v <> '' GROUP BY name)
+SELECT name, 'str' AS type, total, distinct_values, CASE WHEN long THEN 'free_text' END AS kind FROM s
+""")
 def profile_documents(spark, sf_dir):
     """The profile of a table with long texts."""
-    t = from_dataframe("documents", table(spark, sf_dir, "documents"), "doc_id", ["text", "lang", "source", "n_chars"])
+    t = from_dataframe("documents", table(spark, sf_dir, "documents"), "doc_id", ["text", "lang", "source"])
     return profiling.profile_frame(t).select("name", "type", "total", "distinct_values", "kind")
 
 
