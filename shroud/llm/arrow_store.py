@@ -1,8 +1,10 @@
 """Token ids in Arrow files with fixed-size-list batches.
 
 Documents in ascending order of id are dealt into ranges; each range writes one Arrow file of equal-length sequences
-(``fixed_size_list[1024]`` of ids, as wide as the vocabulary needs, and ``fixed_size_list<uint8>[1024]`` of the mask, a byte for each
-id, 64 sequences a batch), which a reader can map into memory and address without copying either, and one Arrow file with the documents' places in that stream. A file's
+(``fixed_size_list[1024]`` of ids, as wide as the vocabulary needs, and the mask, a byte for each id, 64 sequences a batch), which a reader
+can map into memory and address without copying, and one Arrow file with the documents' places in that stream. Masks are a dictionary of
+``fixed_size_list<uint8>[1024]``: all sequences of a file but the last share the full mask, so a file holds at most two of them, and a
+sequence's mask is a view of its entry (Arrow joins the two, 2 KB, when it opens a file that has both). A file's
 name has its task's attempt in it, and only files named in the written manifest are read, so retried and speculative
 tasks do no harm. Folders are URIs of any store that Arrow opens; Spark's names for object stores (``s3a``, ``s3n``) are understood.
 
@@ -32,7 +34,7 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 
 def _schema(length: int, wide: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.dictionary(pa.int32(), pa.list_(pa.uint8(), length)))])
 
 
 def _open(uri: str):
@@ -47,8 +49,19 @@ def _sequences(ids: np.ndarray, length: int) -> pa.RecordBatch:
     rows = -(-len(ids) // length)
     full = np.zeros(rows * length, ids.dtype)
     full[: len(ids)] = ids
-    mask = (np.arange(rows * length) < len(ids)).astype("uint8")
-    return pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(full), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=_schema(length, ids.dtype.itemsize == 4))
+    masks, which = np.ones(length, "uint8"), np.zeros(rows, "int32")
+    if last := len(ids) % length:
+        masks = np.concatenate([masks, (np.arange(length) < last).astype("uint8")])
+        which[-1] = 1
+    mask = pa.DictionaryArray.from_arrays(pa.array(which), pa.FixedSizeListArray.from_arrays(pa.array(masks), length))
+    return pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(full), length), mask], schema=_schema(length, ids.dtype.itemsize == 4))
+
+
+def _unpadded(batch: pa.RecordBatch) -> np.ndarray:
+    """The ids of a batch that its masks keep."""
+    mask = batch["mask"]
+    masks = mask.dictionary.values.to_numpy().view(bool).reshape(len(mask.dictionary), -1)
+    return batch["ids"].values.to_numpy()[masks[mask.indices.to_numpy()].reshape(-1)]
 
 
 def _writer(folder: str, vocabulary: str, end_id: int, length: int, special: bool):
@@ -61,7 +74,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, length: int, special: boo
         store.create_dir(path.rpartition("/")[0], recursive=True)
         rest, n_tokens, n_docs = np.zeros(0, width), 0, 0
         with store.open_output_stream(path) as a, store.open_output_stream(path.replace(".seq.", ".doc.")) as b:
-            with pa.ipc.new_file(a, _schema(length, width == "uint32")) as seqs, pa.ipc.new_file(b, DOCS) as docs:
+            with pa.ipc.new_file(a, _schema(length, width == "uint32"), options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)) as seqs, pa.ipc.new_file(b, DOCS) as docs:
                 for batch in batches:
                     for part in slices(batch, "text", SLICE, BYTES):
                         ids, ends = words.encode(part["text"])
@@ -92,11 +105,12 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
 
 
 def sequence(uri: str, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence, by its place in a file: views of the mapped file, nothing is copied."""
+    """Ids and mask of one sequence, by its place in a file: views, nothing is copied."""
     path = _open(uri)[1]
     with pa.ipc.open_file(pa.memory_map(path)) as file:
         batch = file.get_batch(row // ROWS)
-        return batch["ids"][row % ROWS].values.to_numpy(), batch["mask"][row % ROWS].values.to_numpy()
+        mask = batch["mask"]
+        return batch["ids"][row % ROWS].values.to_numpy(), mask.dictionary[mask.indices[row % ROWS].as_py()].values.to_numpy()
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +119,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, path = _open(seq_uri)
             with store.open_input_file(path) as a, store.open_input_file(_open(doc_uri)[1]) as b:
                 seqs, docs = pa.ipc.open_file(a), pa.ipc.open_file(b)
-                stream = (x["ids"].values.to_numpy()[x["mask"].values.to_numpy().view(bool)] for x in map(seqs.get_batch, range(seqs.num_record_batches)))
+                stream = (_unpadded(seqs.get_batch(i)) for i in range(seqs.num_record_batches))
                 have = np.zeros(0, "uint16")
                 for i in range(docs.num_record_batches):
                     doc = docs.get_batch(i)

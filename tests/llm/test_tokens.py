@@ -54,6 +54,18 @@ def test_arrow_store(spark, docs, texts, empty):
     assert read_documents(write_tokens(empty, scratch_dir(spark), vocabulary("word_bpe_49k.json"))).count() == 0
 
 
+def test_masks_of_a_file_of_several_batches(spark, texts):
+    long = " ".join(t for t in texts.values() if t) * 40
+    docs = spark.createDataFrame([(1, long), (2, "a b"), (3, None)], "doc_id long, text string")
+    file = write_tokens(docs.coalesce(1), scratch_dir(spark), vocabulary("word_bpe_49k.json")).collect()
+    for f in file:
+        rows = -(-f.n_tokens // 1024)
+        got = [sequence(f.seq_uri, i) for i in range(rows)]
+        assert [int(mask.sum()) for _, mask in got] == [1024] * (f.n_tokens // 1024) + [f.n_tokens % 1024] * (f.n_tokens % 1024 > 0)
+        assert all(mask[: mask.sum()].all() and not ids[mask.sum() :].any() for ids, mask in got)
+    assert any(f.n_tokens > 64 * 1024 for f in file)  # the partial mask joins those of earlier batches
+
+
 def test_arrow_store_of_null_and_repeated_ids(spark, repeated):
     rows = list(read_documents(write_tokens(repeated, scratch_dir(spark), vocabulary("word_bpe_49k.json"))).collect())
     exact = library("word_bpe_49k.json", 2)
