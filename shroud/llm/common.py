@@ -59,12 +59,13 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     told = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ())
-    for _ in range(30):
-        if not told:
-            break
-        time.sleep(0.1)
-    time.sleep(0.1)
-    spark._jvm.System.gc()
+    for _ in range(2):  # on a busy machine the last reference may be told after the first collection
+        for _ in range(30):
+            if not told:
+                break
+            time.sleep(0.1)
+        time.sleep(0.5)
+        spark._jvm.System.gc()
 
 
 def scratch_dir(spark: SparkSession) -> str:
