@@ -115,6 +115,12 @@ def norm_of(kind: str | None, value: str) -> str:
     return found[0].norm if len(found) == 1 else value.strip()
 
 
+def may_have_kind(v: Column) -> Column:
+    """True for every value that ``kind_of`` gives a kind: an address has an at sign, and what else is a match from end to end
+    has nine digits at least and no letter (a match after a context word begins behind it)."""
+    return v.contains("@") | (~v.rlike(r"\p{L}") & (F.length(F.regexp_replace(v, r"\P{Nd}+", "")) >= 9))
+
+
 def kinds_of(values: pd.Series) -> pd.Series:
     return values.map(kind_of, na_action="ignore")
 

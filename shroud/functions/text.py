@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,9 +19,13 @@ NOT_NAME_ENDINGS = "명일값자비과처량액율률별형료금간류번호도
 SHAPE_LENGTH = 24
 
 
+#: All signs that ``(?U)\\s`` fits.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def filled(c: Column) -> Column:
@@ -34,9 +39,11 @@ def digits(c: Column) -> Column:
 
 def shape(c: Column) -> Column:
     """The first 24 characters with digits, Latin letters, Hangul and white space each shown as one sign."""
-    s = F.substring(c, 1, SHAPE_LENGTH)
-    for pattern, sign in ((r"\p{Nd}", "#"), ("[A-Z]", "A"), ("[a-z]", "a"), ("[가-힣]", "가"), (r"(?U)\s", " ")):
-        s = F.regexp_replace(s, pattern, sign)
+    s = F.translate(F.substring(c, 1, SHAPE_LENGTH), string.digits + string.ascii_uppercase + string.ascii_lowercase, "#" * 10 + "A" * 26 + "a" * 26)
+    other = s
+    for pattern, sign in ((r"\p{Nd}", "#"), ("[가-힣]", "가"), (r"(?U)\s", " ")):
+        other = F.regexp_replace(other, pattern, sign)
+    s = F.when(s.rlike(r"[^\x20-\x7e]"), other).otherwise(s)
     return F.concat(s, F.when(F.length(c) > SHAPE_LENGTH, F.lit("…")).otherwise(F.lit("")))
 
 
@@ -87,7 +94,8 @@ def is_date(c: Column) -> Column:
     def part(group: int) -> Column:
         return F.when(pattern == 1, F.regexp_extract(c, apart, group)).when(pattern == 2, F.regexp_extract(c, compact, group)).cast("int")
 
-    return F.coalesce(part(2).between(1, 12) & part(3).between(1, 31), F.lit(False))
+    long_enough = (F.length(c) >= 8) & c.rlike(r"^\p{Nd}{4}")  # most values end here
+    return F.when(long_enough, F.coalesce(part(2).between(1, 12) & part(3).between(1, 31), F.lit(False))).otherwise(F.lit(False))
 
 
 def entity_name(column: str, fallback: str = "ID") -> str:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shroud import queries as own
+from shroud.functions import detect, text
 from shroud.operators import scrub as scrubbing
 from shroud.operators.dictionary import SPAN
 
@@ -53,3 +54,44 @@ def test_spans_are_replaced_alike_however_many_there_are(spark, monkeypatch):
         monkeypatch.setattr(scrubbing, "SPANS", most)
         out = scrubbing.replace_spans(df, "text", ["k"], resolved)
         assert sorted((r.k, r.text, r.hits) for r in out.collect()) == want
+
+
+def test_many_surfaces_are_replaced_as_each_in_turn(spark, monkeypatch):
+    """Surfaces joined with texts, also those that only a replacement makes, against all of them in turn."""
+    draw = random.Random(5)
+    fixed = [("Customer#01", "P_1"), ("Customer#012", "P_2"), ("P_2 x", "y z"), ("y z", "##"), ("###", "o"), ("é", "e e"), ("e e", ""), ("b\n", "n"), ("漢字", "K"), ("a b", "漢"), ("$.*", "\\1")]
+    words = ["".join(draw.choices("ab# 漢字", k=draw.randrange(2, 5))).strip() for _ in range(60)]
+    into = dict([*fixed, *((w, draw.choice(["a", "b#", " ", "", "漢字", "Q"])) for w in words if w)])
+    texts = ["Customer#012 x Customer#0123", "Customer#01#", "yé zé", "Customer#012 x#", "a b字", "$.*$.*", "", None, "none"]
+    texts += ["".join(draw.choices("ab# 漢字é", k=draw.randrange(30))) for _ in range(300)]
+    order = sorted(into, key=lambda w: (-len(w), w.encode()))
+    want = [(k, *((None, 0) if t is None else scrubbing.replace_surfaces(t, order, [into[w] for w in order]))) for k, t in enumerate(texts)]
+    known = spark.createDataFrame([(w, r, True, 1) for w, r in into.items()], "surface string, replacement string, multiword boolean, seq long")
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    monkeypatch.setattr(scrubbing, "MULTIWORD", 3)
+    monkeypatch.setattr(scrubbing, "_replace_all", None)  # a pass over all texts for every few surfaces
+    out = scrubbing.multiword(df, "text", known)
+    assert sorted((r.k, r.text, r.hits) for r in out.collect()) == want
+
+
+def test_only_values_that_may_have_a_kind_go_to_python(spark):
+    draw = random.Random(7)
+    values = ["a@b.co", "010-1234-5678", "+1 (415) 555-0134", "02-123-4567", "123-45-6789", "4111 1111 1111 1111", "900101-1234567", "11-22-333333-44", "passport M12345678", "Customer#000012345", "000012", "agent 010-1234-5678"]
+    values += ["".join(draw.choices("0123456789- .+()@a", k=draw.randrange(1, 18))).strip() for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in set(values) if v], "v string")
+    gated = {r.v: r.g for r in df.select("v", detect.may_have_kind(F.col("v")).alias("g")).collect()}
+    assert all(gated[v] for v in gated if detect.kind_of(v))
+    assert not any(gated[v] for v in ("Customer#000012345", "000012", "agent 010-1234-5678"))
+
+
+def test_white_space_and_shapes_are_as_the_patterns_have_them(spark):
+    """Trimming and shapes without a pattern for every value, against the patterns."""
+    signs = [chr(i) for i in (*range(1, 0x300), 0x660, 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xAC00, 0xD7A3, 0xFEFF, 0xFF11)]
+    values = ["", " ", *(f"{s}a{s}B{s}9{s}{s}" for s in signs), " 　\n12 가 \x85 ", "Customer#000012345 and more than that"]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v string")
+    old = F.substring("v", 1, text.SHAPE_LENGTH)
+    for pattern, sign in ((r"\p{Nd}", "#"), ("[A-Z]", "A"), ("[a-z]", "a"), ("[가-힣]", "가"), (r"(?U)\s", " ")):
+        old = F.regexp_replace(old, pattern, sign)
+    old = F.concat(old, F.when(F.length("v") > text.SHAPE_LENGTH, F.lit("…")).otherwise(F.lit("")))
+    rows = df.select("k", text.strip(F.col("v")).alias("s"), F.regexp_replace("v", r"(?U)^\s+|\s+$", "").alias("s0"), text.shape(F.col("v")).alias("h"), old.alias("h0")).collect()
+    assert [(r.k, r.s, r.h) for r in rows if (r.s, r.h) != (r.s0, r.h0)] == []
